@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidenta.llm import simhash
+from evidenta.llm import dac, mixing, packing, quality, simhash, vectors, warc
 from evidenta.llm.common import documents
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op6_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.addressed(documents(spark, sf_dir))
+
+
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.balance(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+    return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
