@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidenta.llm import dac, mixing, packing, quality, simhash, vectors, warc
+from evidenta.llm import dac, mixing, packing, privacy, quality, secrets, simhash, vectors, warc
 from evidenta.llm.common import documents
 
 
@@ -33,6 +33,14 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(documents(spark, sf_dir))
+
+
+def op9_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(documents(spark, sf_dir))
 
