@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidenta.llm import dac, mixing, packing, privacy, quality, secrets, simhash, vectors, warc
+from evidenta.llm import dac, lines, mixing, packing, privacy, quality, secrets, simhash, vectors, warc
 from evidenta.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.addressed(documents(spark, sf_dir))
 
