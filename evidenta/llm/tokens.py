@@ -8,15 +8,15 @@ repeats most of its words. Any other vocabulary goes through ``encode_batch`` te
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and pieces held by a worker; a full memo is emptied, which costs time only.
-MEMO_WORDS, MEMO_PIECES = 400_000, 800_000
+MEMO_WORDS, MEMO_PIECES = 700_000, 700_000
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -33,6 +33,13 @@ def _byte_letters() -> list[str]:
     return letters
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """``ids(text)`` as little-endian unsigned 32-bit bytes."""
 
@@ -49,7 +56,6 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.model = self.library.model
-        self.special = [x["content"] for x in shape.get("added_tokens") or ()]
 
     @staticmethod
     def _drops_space(shape: dict) -> bool:
@@ -71,7 +77,7 @@ class Encoder:
         )
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _piece(self, letters: str) -> bytes:
         """Ids of a run of lower-case Latin letters or of one punctuation mark."""
@@ -79,8 +85,8 @@ class Encoder:
         if got is None:
             if len(self.pieces) >= MEMO_PIECES:
                 self.pieces.clear()
-            mapped = "".join([self.letters[b] for b in letters.encode()])
-            got = self.pieces[letters] = np.asarray([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            mapped = letters if letters.isascii() else "".join([self.letters[b] for b in letters.encode()])
+            got = self.pieces[letters] = _packed([t.id for t in self.model.tokenize(mapped)])
         return got
 
     def _learn(self, missing: set[bytes]) -> None:
@@ -90,8 +96,10 @@ class Encoder:
             core = text.rstrip(".,")
             tail = text[len(core) :]
             # runs of letters below U+0250 that are in composed form: no rule of the vocabulary splits them
-            if core and len(tail) < 2 and core.isalpha() and max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
-                self.words[word] = self._piece(core.lower()) + (self._piece(tail) if tail else b"")
+            plain = core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core)))
+            if plain and len(tail) < 2:
+                ids = self.pieces.get(low := core.lower()) or self._piece(low)
+                self.words[word] = ids + self._piece(tail) if tail else ids
             else:
                 hard.append((word, text))
         for (word, _), ids in zip(hard, self._plain([text for _, text in hard]), strict=True):
@@ -112,7 +120,7 @@ class Encoder:
             try:
                 yield b"".join([known[w] for w in words])
             except KeyError:
-                missing = set(words) - known.keys()
+                missing = {w for w in words if w not in known}
                 if len(known) + len(missing) > MEMO_WORDS:
                     known.clear()
                     missing = set(words)
