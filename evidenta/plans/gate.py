@@ -7,6 +7,7 @@ import re
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 INERT = re.compile(r"\s*(begin|commit|rollback|start\s+transaction|end)(\s+(work|transaction))?\s*;?\s*", re.I)
 DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "read_files", "load_file"}
 TABLE_FUNCTIONS = {"records_as_of", "causal_closure", "journal", "answer_proof", "range", "explode", "posexplode", "inline", "stack"}
@@ -70,7 +71,7 @@ def _check_expression(e, known: set[str], functions: set[str]) -> None:
         name = _parts(e.nameParts())[-1].lower()
         if name in DENIED_FUNCTIONS:
             raise Refused(f"function {name} is not allowed: it reaches outside the query")
-    if hasattr(e, "plan") and ("Subquery" in kind or kind in ("Exists", "ListQuery")):
+    if kind in SUBQUERIES:
         _check(e.plan(), known, functions)
     for child in _seq(e.children()):
         _check_expression(child, known, functions)
@@ -123,7 +124,7 @@ def literal_calls(spark: SparkSession, sql: str) -> list[tuple[str, list]]:
             walk(child)
 
     def walk_expression(e) -> None:
-        if hasattr(e, "plan") and ("Subquery" in _name(e) or _name(e) in ("Exists", "ListQuery")):
+        if _name(e) in SUBQUERIES:
             walk(e.plan())
         for child in _seq(e.children()):
             walk_expression(child)
