@@ -12,7 +12,7 @@ smallest id stays a ``response``; the others become ``revisit`` records that kee
 and refer to it.
 
 Archives are real files in the shared folder. Executors hand finished volumes to Spark's text
-writer (a value is written byte for byte), with ``CR LF CR LF`` between WARC records and ``LF`` between ARC
+writer (a value is written byte for byte, and the file gzipped), with ``CR LF CR LF`` between WARC records and ``LF`` between ARC
 ones, and read them as binary files, so any file system that Spark reaches will do. A file
 holds volumes of bounded size.
 
@@ -23,6 +23,7 @@ percent-encoded; repeated rows are separate records (of equal payloads and equal
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -96,6 +97,11 @@ def _volumes(batches: Iterator[pd.DataFrame], volume: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"bytes": [b"\n".join(parts)]})
 
 
+def plain(data: bytes) -> bytes:
+    """The bytes of a file that may be gzipped, in one member or several."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of concatenated ARC volumes, the version block of each first.
 
@@ -164,7 +170,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for data in batch["content"]:
             rows = []
-            for r in parse_arc(data):
+            for r in parse_arc(plain(data)):
                 if not r["URL"].startswith("filedesc:"):
                     _, named, payload = split_http(r["body"])
                     rows.append((named.get("x-page-id"), len(payload), hashlib.sha256(payload).hexdigest()))
@@ -175,7 +181,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"], strict=True):
             rows = []
-            for r in parse_arc(data):
+            for r in parse_arc(plain(data)):
                 _, named, payload = split_http(r["body"])
                 place = f"{path.rsplit('/', 1)[-1]}#{r['position']}"
                 rows.append((named.get("x-page-id"), r["URL"], r["Archive-date"], r["Content-type"], place, hashlib.sha256(payload).hexdigest(), r["body"]))
@@ -241,7 +247,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for data in batch["content"]:
             rows = []
-            for head, block in parse_warc(data):
+            for head, block in parse_warc(plain(data)):
                 kind = head["warc-type"]
                 if kind == "warcinfo":
                     continue
@@ -256,11 +262,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def files(frame: DataFrame, folder: str, between: str) -> None:
     """Write volumes (column ``bytes``) as files of a few volumes each."""
-    frame.select(F.col("bytes").cast("string").alias("value")).write.option("lineSep", between).option("maxRecordsPerFile", VOLUMES_A_FILE).text(folder)
+    frame.select(F.col("bytes").cast("string").alias("value")).write.option("lineSep", between).option("maxRecordsPerFile", VOLUMES_A_FILE).option("compression", "gzip").text(folder)
 
 
 def opened(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content")
 
 
 def write_arc(pages: DataFrame, folder: str, volume: int = VOLUME) -> None:
