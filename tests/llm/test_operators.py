@@ -284,8 +284,8 @@ def test_op8_bootstraps(spark):
 def test_op8_long_runs(spark):
     rows = [(1, "1" * 300_000), (2, "a" * 300_000), (3, "1 " * 100_000), (4, "a@" + "b.c" * 50_000), (5, "+1" + " 2" * 100_000)]
     got = {r["doc_id"]: r for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, t in rows:
-        assert got[i]["base_sha256"] == brute.sha256(brute.base_spans(t if i != 2 else "", brute.PII)[0])
+    for i, t in rows:  # a plain regular expression would take hours on some of these
+        assert got[i]["base_sha256"] == brute.sha256(f"email:0:{len(t)}" if i == 4 else "")
 
 
 @both
