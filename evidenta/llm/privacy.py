@@ -29,7 +29,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IDENTIFIER = r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9-]*+)(?![A-Za-z0-9])"
+# A token of letters, digits and hyphens with at least LEAST_DIGITS digits.
+IDENTIFIER = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9-]*+(?![A-Za-z0-9])"
 ROUNDS = 3
 LEAST_VALUES = 3  # different known instances that a lexical pattern needs
 CONFIDENT = 0.5  # share of a pattern's occurrences that known instances follow
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scratch = Scratch(docs.sparkSession, "privacy")
     t = F.col("t")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", *base(t), found(t, IDENTIFIER, t.rlike(r"[0-9][A-Za-z0-9-]*[0-9][A-Za-z0-9-]*[0-9]")).alias("f_token"))
+    rows = rows.select("doc_id", "t", *base(t), found(t, IDENTIFIER, t.rlike(r"[0-9](?:[A-Za-z-]*+[0-9]){3}")).alias("f_token"))
     rows = rows.select("doc_id", "t", *[placed(f"f_{k}").alias(f"all_{k}") for k in KINDS], F.expr(
         f"if(f_token is null or not exists(f_token.m, x -> length({_digits('x')}) >= {LEAST_DIGITS}), null, f_token)").alias("f_token"))
     rows = rows.select("doc_id", "t", *[valid(k).alias(k) for k in KINDS], placed("f_token").alias("all_token"))
