@@ -2,8 +2,8 @@
 
 Patterns give the base spans (email, ip, card, phone). Their values are the seed instances. The two words
 left of an instance are its lexical pattern. Instances and lexical patterns form a graph that is scored in
-rounds: a pattern's confidence is the share of all its occurrences in the corpus that known
-instances follow, and it needs a least number of different instances; an unknown identifier-like token
+rounds: a pattern's confidence is the share of all its occurrences in the corpus, at any place where an
+instance could start, that known instances follow; it needs a least number of different instances; an unknown identifier-like token
 is accepted once the chance that all its patterns are wrong falls below a bound, and joins the instances of
 the next round. Accepted tokens are added as spans of kind ``context``; base spans stay.
 
@@ -36,8 +36,15 @@ LEAST_VALUES = 3  # different known instances that a lexical pattern needs
 CONFIDENT = 0.5  # share of a pattern's occurrences that known instances follow
 ACCEPT = 0.5  # an instance's chance of being one
 LEAST_DIGITS = 4
-REACH = 64  # code points left of a span in which its two words are sought
-MOST_BROADCAST = 20_000  # lexical patterns, of at most 2 * REACH bytes each
+REACH = 64  # code points left of a span in which its two words are sought first
+MOST_BROADCAST = 20_000  # lexical patterns, of two hashes each
+SPACE = r"\\x20\\x09-\\x0D"  # in SQL
+# Places inside a word where an identifier, a card, an ip, a phone or an email could start.
+INSIDE = (
+    r"(?<=[^\x20\x09-\x0DA-Za-z0-9])(?=[A-Za-z0-9])|(?<=[^\x20\x09-\x0D0-9])(?=[0-9])|(?<=[^\x20\x09-\x0D])(?=\+[0-9])"
+    r"|(?<=[^\x20\x09-\x0DA-Za-z0-9._%+-])(?=[._%+-])"
+)
+CHAINED = r"(?<=[A-Za-z0-9-])(?=[._%+])"  # right after an email
 
 
 def _digits(column: str) -> str:
@@ -71,16 +78,52 @@ def valid(kind: str) -> Column:
     return F.col(f"all_{kind}")
 
 
+def _masked(text: str) -> str:
+    return f"translate(lower({text}), '123456789', '000000000')"
+
+
 def _context(start: str) -> str:
-    """SQL: the two words left of a place, in lower case with digits masked; null if there are not two."""
-    left = f"substr(t, greatest({start} - {REACH}, 0) + 1, least({start}, {REACH}))"
-    return f"nullif(regexp_extract(translate(lower({left}), '123456789', '000000000'), '(?:^|[\\\\x20\\\\x09-\\\\x0D])([^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]+[^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]*$', 1), '')"
+    """SQL: the two words left of a place, in lower case with digits masked; empty if there are not two.
+
+    The last word ends at white space or at the place itself. They are sought in ever longer cuts of the
+    text; a cut counts only if it shows where the first word begins.
+    """
+
+    def within(reach: str) -> str:
+        left = f"substr(t, greatest({start} - {reach}, 0) + 1, least({start}, {reach}))"
+        two = r"([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]*$"
+        begin = f"if({start} <= {reach}, '(?:^|[{SPACE}])', '[{SPACE}]')"
+        return f"nullif(regexp_extract({_masked(left)}, concat({begin}, '{two}'), 1), '')"
+
+    words = f"coalesce({within(str(REACH))}, {within(str(REACH * REACH))}, {within(f'greatest({start}, 1)')}, '')"
+    return f"regexp_replace({words}, '[{SPACE}]+', ' ')"
+
+
+def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int) -> DataFrame:
+    """``pattern, n_seen``: the places where an instance could start, after the ``n`` wanted patterns (``pattern, first``).
+
+    Such places are after any two words, and inside a word where ``INSIDE`` says; for the latter only patterns of at most
+    ``most`` code points, the longest wanted, are made, since a word has as many prefixes as places.
+    """
+    def small(some: DataFrame) -> DataFrame:
+        return F.broadcast(some) if n <= MOST_BROADCAST else some
 
+    def words(text: str) -> Column:
+        return F.expr(f"split(trim(regexp_replace({text}, '[{SPACE}]+', ' ')), ' ')")
 
-def _bigrams(docs: DataFrame, text_col: str) -> DataFrame:
-    words = F.expr(f"split(trim(regexp_replace(translate(lower(`{text_col}`), '123456789', '000000000'), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), ' ')")
-    pairs = docs.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
-    return pairs.select(F.concat_ws(" ", "p.a", "p.b").alias("pattern"))
+    # lower case can depend on what follows in a word, so words are cut before
+    rows = docs.select(words(_masked(f"`{text_col}`")).alias("w"), words(f"`{text_col}`").alias("raw")).where("size(w) > 1")
+    zipped = F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"), F.expr("slice(raw, 2, size(raw) - 1)").alias("raw"))
+    pairs = rows.select(F.explode(zipped).alias("p")).select(F.xxhash64("p.a").alias("first"), "p.a", "p.b", "p.raw")
+    # few pairs begin like a wanted pattern
+    pairs = pairs.join(small(wanted.select("first").distinct()), "first")
+    split = F.when(F.col("raw").contains("@"), F.split("raw", f"{INSIDE}|{CHAINED}", -1)).otherwise(F.split("raw", INSIDE, -1))
+    ends = f"""aggregate(slice(cut, 1, size(cut) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (x, c) -> named_struct(
+        'at', x.at + length(c), 'out', if(length(a) + 1 + x.at + length(c) <= {most}, array_append(x.out, x.at + length(c)), x.out)), x -> x.out)"""
+    cut = pairs.select("a", "b", "raw", split.alias("cut")).select("a", "b", "raw", F.expr(ends).alias("ends"))
+    inside = f"transform(ends, e -> {_masked('substr(raw, 1, e)')})"
+    places = cut.select("a", F.explode(F.expr(f"concat(array(b), {inside})")).alias("b")).select(F.expr("xxhash64(concat(a, ' ', b))").alias("pattern"))
+    return places.join(small(wanted.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("n_seen"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +139,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select("doc_id", "t", *KINDS, F.expr(f"if(size(all_token) = 0, all_token, filter(all_token, x -> length({_digits('x.m')}) >= {LEAST_DIGITS} and not ({clash})))").alias("token"))
 
     def with_context(name: str, known: bool) -> str:
-        return f"transform({name}, x -> named_struct('s', x.s, 'e', x.e, 'value', sha2(x.m, 256), 'pattern', regexp_replace({_context('x.s')}, '[\\\\x20\\\\x09-\\\\x0D]+', ' '), 'known', {str(known).lower()}))"
+        return f"transform({name}, x -> named_struct('s', x.s, 'e', x.e, 'value', sha2(x.m, 256), 'pattern', {_context('x.s')}, 'known', {str(known).lower()}))"
 
-    rows = rows.select("doc_id", *KINDS, F.expr("concat(" + ", ".join([*(with_context(k, True) for k in KINDS), with_context("token", False)]) + ")").alias("instances"))
+    rows = rows.select("doc_id", *KINDS, F.expr("concat(" + ", ".join([*(with_context(k, True) for k in KINDS), with_context("token", False)]) + ")").alias("x"))
+    # a pattern is kept as its hash, that of its first word, and its length
+    rows = rows.select("doc_id", *KINDS, F.expr("transform(x, x -> named_struct('s', x.s, 'e', x.e, 'value', x.value, 'pattern', nullif(xxhash64(x.pattern), xxhash64('')), 'first', xxhash64(substring_index(x.pattern, ' ', 1)), 'long', length(x.pattern), 'known', x.known))").alias("instances"))
     # rows without texts; the row number tells repeated rows apart
     held = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "found")
     flat = held.select("row", F.explode("instances").alias("x")).select("row", "x.*")
@@ -118,20 +163,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _bootstrap(texts: DataFrame, instances: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Values accepted by confident patterns, or None without any. instances: ``value, pattern, known``."""
     # distinct links of the graph with their numbers of occurrences: hot values and patterns are pre-aggregated
-    links = scratch.save(instances.groupBy("pattern", "value", "known").agg(F.count("*").alias("n")), "links")
+    links = scratch.save(instances.groupBy("pattern", "value", "known").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.max("long").alias("long")), "links")
     if links.where("not known").isEmpty():
         return None
     known = links.where("known").select("value").distinct()
     accepted, total, counted = None, None, None
     for k in range(ROUNDS):
-        support = links.join(known, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_hits")).where(F.col("n_values") >= LEAST_VALUES)
+        support = links.join(known, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_hits"), F.max("first").alias("first"), F.max("long").alias("long")).where(F.col("n_values") >= LEAST_VALUES)
         # only patterns that could give a new instance
         support = scratch.save(support.join(links.where("not known").select("pattern").distinct(), "pattern", "left_semi"), f"support-{k}")
         fresh = support if counted is None else support.join(counted, "pattern", "left_anti")
-        n = fresh.count()
+        n, most = fresh.agg(F.count("*"), F.max("long")).first()
         if n:
-            wanted = fresh.select("pattern")
-            seen = _bigrams(texts, "t").join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("n_seen"))
+            seen = _seen(texts, "t", fresh, n, most)
             seen = scratch.save(seen, f"seen-{k}")
             total = seen if total is None else total.unionByName(seen)
             counted = total.select("pattern")

@@ -281,6 +281,18 @@ def test_op8_bootstraps(spark):
     assert got[200]["n_context"] == 0 and got[0]["n_context"] == 0
 
 
+def test_op8_patterns_that_touch(spark):
+    contexts = ["please call tel:", 'then "email": "', "your account id=", "write to me (", 'row {"k":"v","user_id":"', "the number é", f"a {'long' * 40} {'word' * 40}:"]
+    rows = [(100 * k + i, f"{c}x{i}y@mail.example.com or so") for k, c in enumerate(contexts) for i in range(4)]
+    rows += [(100 * k + 50, f"{c}ZK8{k}421 or so") for k, c in enumerate(contexts)]
+    # "door no=" is followed by an email 3 times of 9
+    rows += [(1100 + i, f"door no={i}y@mail.example.com") for i in range(3)] + [(1110 + i, "door no=none") for i in range(4)] + [(1120, "door no=CD1234"), (1121, "door no= nothing")]
+    got = {r["doc_id"]: r for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, c in enumerate(contexts):
+        assert got[100 * k + 50]["spans"] == f"context:{len(c)}:{len(c) + 7}"
+    assert got[1120]["n_context"] == 0
+
+
 def test_op8_long_runs(spark):
     rows = [(1, "1" * 300_000), (2, "a" * 300_000), (3, "1 " * 100_000), (4, "a@" + "b.c" * 50_000), (5, "+1" + " 2" * 100_000)]
     got = {r["doc_id"]: r for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
