@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidenta.operators import causal, chain, completeness, federation, ingest, storage, verify
+from evidenta.operators import causal, chain, completeness, federation, ingest, segments, storage, verify
 from evidenta.operators.query import Query, answer, event_code, severity_rank
 from evidenta.plans.proof import Proof
 from evidenta.plans.session import Session
 from evidenta.sources import agent_event, testdata
 from evidenta.sources.testdata import records
+from evidenta.tables import Scratch
 
 RUN, AGENT = "run-33-20240128", "agent://acme.example/u-33"
 RECORD = "0000000000000000000000000000007d"
@@ -53,9 +54,9 @@ def with_records(sql: str) -> str:
     return f"WITH {head} {text}"
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, run: str = RUN) -> DataFrame:
     """One run's records, through gate and proof planner."""
-    return Session(records(spark, sf_dir)).query(f"SELECT {SHOWN} FROM records WHERE run_id = '{RUN}'").rows
+    return Session(records(spark, sf_dir)).query(f"SELECT {SHOWN} FROM records WHERE run_id = '{run}'").rows
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
@@ -102,6 +103,13 @@ def src6_journal_open_end(spark, sf_dir):
     return Session(records(spark, sf_dir), raw=True).query(f"SELECT {SHOWN} FROM journal(2000, 99999999) WHERE event_type = 'tool_call'").rows
 
 
+def store(spark, sf_dir, **options) -> Session:
+    """A session over sealed records and their manifests."""
+    scratch = Scratch(spark, "store")
+    rows = scratch.save(sealed(spark, sf_dir), "sealed")
+    return Session(rows, scratch.save(chain.manifests(rows, BITS), "manifests"), bits=BITS, columns=LINKED, **options)
+
+
 PROOFS = [
     ("all", "SELECT record_id FROM records", "full", 0),
     ("point_run", f"SELECT record_id FROM records WHERE run_id = '{RUN}'", "full", 0),
@@ -126,18 +134,50 @@ PROOFS = [
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', {k})" for n, _, s, k in PROOFS) + ") t(query_id, proof, unproved)")
 def p9_proof_status(spark, sf_dir):
-    session = Session(records(spark, sf_dir), raw=True)
+    session = store(spark, sf_dir, raw=True)
     rows = [(n, p.status, len(p.unproved)) for n, sql, _, _ in PROOFS for p in (session.query(sql).proof,)]
     return spark.createDataFrame(rows, "query_id string, proof string, unproved int")
 
 
+LOST_ROW, FORGED_ROW, BARE_SEGMENT = "shard = 1 AND seq % 1000 = 5", "shard = 2 AND seq % 1500 = 7", "shard = 3 AND segment_id = 1"
+
+
+@query(f"""WITH s AS (SELECT *, {LOST_ROW} AS lost, {FORGED_ROW} AS forged, {BARE_SEGMENT} AS bare FROM r)
+    SELECT shard, segment_id, CASE WHEN NOT bool_or(bare) THEN count(*) END AS n_records, count(*) FILTER (WHERE NOT lost AND run_id BETWEEN 'run-2' AND 'run-3') AS n_entries,
+      CASE WHEN bool_or(bare) OR bool_or(lost) OR bool_or(forged) THEN 'partial' ELSE 'full' END AS status,
+      CASE WHEN bool_or(bare) THEN 'not-committed' WHEN bool_or(lost) THEN 'wrong-size' WHEN bool_or(forged) THEN 'link-broken' END AS reason FROM s GROUP BY shard, segment_id""")
+def p9_segment_proofs(spark, sf_dir):
+    """Each segment's proof of a range of runs where rows were lost, forged, and left without a manifest."""
+    scratch = Scratch(spark, "segments")
+    rows = scratch.save(sealed(spark, sf_dir), "sealed")
+    manifests = scratch.save(chain.manifests(rows, BITS), "manifests").where(f"NOT ({BARE_SEGMENT})")
+    rows = rows.where(f"NOT ({LOST_ROW})").withColumn("severity", F.when(F.expr(FORGED_ROW), "debug").otherwise(F.col("severity")))
+    return segments.check(rows, manifests, "run_id", "run-2", "run-3", BITS, LINKED)
+
+
+@query("SELECT * FROM (VALUES ('removed', 'partial'), ('forged', 'partial'), ('unsealed', 'none'), ('sealed', 'full'), ('foreign', 'partial'), ('constant', 'none')) t(rows_are, proof)")
+def src1_honest_status(spark, sf_dir):
+    """One full scan over rows in each condition; the last two read another table, and none."""
+    scratch = Scratch(spark, "honest")
+    rows = scratch.save(sealed(spark, sf_dir), "sealed")
+    manifests = scratch.save(chain.manifests(rows, BITS), "manifests")
+    cases = {"sealed": rows, "removed": rows.where("seq % 2 = 0"), "forged": rows.withColumn("severity", F.lit("debug"))}
+    found = [(n, Session(frame, manifests, bits=BITS, columns=LINKED).query("SELECT * FROM records").proof.status) for n, frame in cases.items()]
+    found.append(("unsealed", Session(rows).query("SELECT * FROM records").proof.status))
+    last = Session(rows, manifests, tables={"customer": spark.read.parquet(f"{sf_dir}/customer.parquet")}, bits=BITS, columns=LINKED)
+    found += [("foreign", last.query("SELECT * FROM customer WHERE c_custkey > 5").proof.status), ("constant", last.query("SELECT 1 AS one").proof.status)]
+    return spark.createDataFrame(found, "rows_are string, proof string")
+
+
 GATED = [
     ("select", "SELECT 1 AS one", True), ("with", "WITH x AS (SELECT * FROM records) SELECT count(*) AS n FROM x", True), ("explain", "EXPLAIN SELECT * FROM records", True),
     ("show", "SHOW TABLES", True), ("set", "SET spark.sql.runSQLOnFiles=true", True), ("begin", "BEGIN", True), ("commit", "COMMIT", True),
     ("insert", "INSERT INTO records SELECT * FROM records", False), ("update", "UPDATE records SET tenant = 'x'", False), ("delete", "DELETE FROM records", False),
     ("drop", "DROP TABLE records", False), ("create", "CREATE TABLE t (a INT)", False), ("function", "CREATE TEMPORARY FUNCTION f AS 'x.Y'", False), ("two", "SELECT 1; SELECT 2", False),
     ("file", "SELECT * FROM text.`/etc/hostname`", False), ("reflect", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", False),
-    ("transform", "SELECT TRANSFORM(run_id) USING 'cat' FROM records", False), ("jar", "ADD JAR '/x.jar'", False), ("cache", "CACHE TABLE records", False), ("unknown", "SELECT * FROM other", False),
+    ("transform", "SELECT TRANSFORM(run_id) USING 'cat' FROM records", False), ("jar", "ADD JAR '/x.jar'", False), ("cache", "CACHE TABLE records", False), ("unknown", "SELECT * FROM other", False), ("travel", "SELECT * FROM other VERSION AS OF 1", False),
+    ("travel_temp", "SELECT * FROM global_temp.x TIMESTAMP AS OF '2024-01-01'", False), ("travel_known", "SELECT * FROM records VERSION AS OF 1", False), ("inside", "SELECT input_file_name() FROM records", False),
+    ("scalar", "SELECT upper(run_id) AS u, size(caused_by) AS n, date_trunc('day', timestamp_micros(recorded_at_nanos div 1000)) AS d FROM records", True),
 ]
 
 
@@ -215,13 +255,16 @@ def c1_run_closure(spark, sf_dir):
     SELECT record_id, run_id, recorded_at_nanos FROM up""")
 def c1_causal_closure(spark, sf_dir):
     base = records(spark, sf_dir)
-    found = causal.reconstruct(base, _closure_run(base), causal.Bounds(max_hops=100_000, max_records=1_000_000))
-    return found.records.select("record_id", "run_id", "recorded_at_nanos")
+    return causal.upstream(base, _closure_run(base)).drop("depth")
+
 
+LOST = "record_id LIKE '%7'"
 
-@query("SELECT a.record_id, a.caused_by_one AS target FROM r a WHERE a.caused_by_one IS NOT NULL AND a.recorded_at_nanos > 1704500000000000000 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.record_id = a.caused_by_one AND b.recorded_at_nanos > 1704500000000000000)")
+
+@query(f"SELECT a.record_id, a.caused_by_one AS target FROM r a WHERE a.caused_by_one LIKE '%7' AND NOT a.{LOST}")
 def c2_dangling_edges(spark, sf_dir):
-    return causal.dangling(records(spark, sf_dir).where("recorded_at_nanos > 1704500000000000000"))
+    """Every record whose id ends in 7 is lost; the causes that name them dangle."""
+    return causal.dangling(records(spark, sf_dir).where(f"NOT {LOST}"))
 
 
 @query("SELECT 'cause' AS kind, record_id, caused_by_one AS target FROM r WHERE caused_by_one IS NOT NULL UNION ALL SELECT 'parent_run', record_id, parent_run_id FROM r WHERE parent_run_id IS NOT NULL")
@@ -274,23 +317,49 @@ def h14_range_boundaries(spark, sf_dir):
     return completeness.boundaries(chain.index_entries(records(spark, sf_dir), ["run_id"], BITS), "run_id", "run-2", "run-3")
 
 
-@query(f"""WITH RECURSIVE {CHAINED} SELECT shard, segment_id, count(*) AS n_records, min(seq) AS first_seq, max(seq) AS last_seq, min(recorded_at_nanos) AS min_recorded_at, max(recorded_at_nanos) AS max_recorded_at,
-    arg_min(prev_hash, seq) AS chain_before, arg_max(chain_link, seq) AS chain_after FROM sealed GROUP BY shard, segment_id""")
+CODE = "CASE event_type WHEN 'request_received' THEN 1 WHEN 'model_call' THEN 2 WHEN 'tool_call' THEN 3 WHEN 'budget_check' THEN 5 WHEN 'memory_access' THEN 6 END"
+KEYS = {"record_id": "record_id", "recorded_at_nanos": "lpad(CAST(recorded_at_nanos AS varchar), 20, '0')", "agent_id": "agent_id", "run_id": "run_id", "event_type": f"lpad(CAST({CODE} AS varchar), 3, '0')"}
+TREES = " UNION ALL ".join(
+    f"SELECT shard, segment_id, '{d}' AS tree, row_number() OVER (PARTITION BY shard, segment_id ORDER BY key, seq) - 1 AS pos, sha256(concat('0|entry/v1|', length(key), ':', key, '|', seq, '|', chain_link)) AS node FROM (SELECT *, {k} AS key FROM sealed) k"
+    for d, k in KEYS.items()
+)
+ROOTS = f"""leaves AS (SELECT shard, segment_id, 'history' AS tree, seq - 1 AS pos, sha256(concat('0|', chain_link)) AS node FROM sealed UNION ALL {TREES}),
+    lv(shard, segment_id, tree, level, pos, node) AS (SELECT shard, segment_id, tree, 0, pos, node FROM leaves
+      UNION ALL SELECT shard, segment_id, tree, level + 1, pos // 2, CASE WHEN nxt IS NULL THEN node ELSE sha256(concat('1|', node, '|', nxt)) END
+        FROM (SELECT *, lead(node) OVER (PARTITION BY shard, segment_id, tree ORDER BY pos) AS nxt, count(*) OVER (PARTITION BY shard, segment_id, tree) AS n FROM lv) w WHERE pos % 2 = 0 AND n > 1),
+    roots AS (SELECT shard, segment_id, max(CASE WHEN tree = 'history' THEN node END) AS history_root, {", ".join(f"max(CASE WHEN tree = '{d}' THEN node END) AS root_{d}" for d in KEYS)}
+      FROM (SELECT *, max(level) OVER (PARTITION BY shard, segment_id, tree) AS top FROM lv) t WHERE level = top GROUP BY shard, segment_id)"""
+MANIFEST = "shard, segment_id, n_records, min_recorded_at, max_recorded_at, chain_before, chain_after, history_root, " + ", ".join(f"root_{d}" for d in KEYS)
+
+
+@query(f"""WITH RECURSIVE {CHAINED}, {ROOTS}, facts AS (SELECT shard, segment_id, count(*) AS n_records, min(seq) AS first_seq, max(seq) AS last_seq, min(recorded_at_nanos) AS min_recorded_at, max(recorded_at_nanos) AS max_recorded_at,
+      arg_min(prev_hash, seq) AS chain_before, arg_max(chain_link, seq) AS chain_after FROM sealed GROUP BY shard, segment_id)
+    SELECT {MANIFEST}, first_seq, last_seq, sha256(concat_ws('|', 'manifest/v1', {MANIFEST})) AS manifest_root FROM facts JOIN roots USING (shard, segment_id)""")
 def h16_manifests(spark, sf_dir):
-    return chain.manifests(sealed(spark, sf_dir), BITS).drop("history_root", "manifest_root", "seal_error", *[f"root_{d}" for d in chain.DIMENSIONS])
+    return chain.manifests(sealed(spark, sf_dir), BITS).drop("seal_error")
 
 
-@query("SELECT 'composite' AS proof, 0 AS failures, true AS caught")
+@query(f"""SELECT shard, segment_id, count(*) AS size, count(*) FILTER (WHERE {BETWEEN}) AS entries, max(recorded_at_nanos) < {LO} OR min(recorded_at_nanos) > {HI} AS skipped, 0 AS failures,
+    count(*) FILTER (WHERE {BETWEEN}) > 0 AS caught FROM r GROUP BY shard, segment_id""")
 def h21_composite_proof(spark, sf_dir):
-    rows = sealed(spark, sf_dir)
-    made, entries = chain.manifests(rows, BITS).collect(), chain.index_entries(rows, ["recorded_at_nanos"], BITS)
+    """A range of time over all segments: what each proves, and whether leaving its first entry out is caught."""
+    scratch = Scratch(spark, "composite")
+    rows = scratch.save(sealed(spark, sf_dir), "sealed")
+    made = scratch.save(chain.manifests(rows, BITS), "manifests").collect()  # a row a segment
+    entries = scratch.save(chain.index_entries(rows, ["recorded_at_nanos"], BITS), "entries")
     lo, hi = str(LO).rjust(20, "0"), str(HI).rjust(20, "0")
     proof = completeness.compose("recorded_at_nanos", lo, hi, made, entries, BITS)
-    good = completeness.verify_composite(proof, "recorded_at_nanos", lo, hi, made, BITS)
-    place = next(k for k, v in proof.segments.items() if v.entries)
-    cut = completeness.tampered(proof.segments[place], entries=proof.segments[place].entries[1:])
-    bad = completeness.CompositeProof("recorded_at_nanos", lo, hi, {**proof.segments, place: cut}, proof.skipped)
-    return spark.createDataFrame([("composite", len(good), bool(completeness.verify_composite(bad, "recorded_at_nanos", lo, hi, made, BITS)))], "proof string, failures int, caught boolean")
+    failures = completeness.verify_composite(proof, "recorded_at_nanos", lo, hi, made, BITS)
+    out = []
+    for m in made:
+        place = (m["shard"], m["segment_id"])
+        found = proof.segments.get(place)
+        caught = False
+        if found and found.entries:
+            cut = completeness.tampered(found, entries=found.entries[1:])
+            caught = bool(completeness.verify_composite(completeness.CompositeProof("recorded_at_nanos", lo, hi, {**proof.segments, place: cut}, proof.skipped), "recorded_at_nanos", lo, hi, made, BITS))
+        out.append((*place, m["n_records"], len(found.entries) if found else 0, place in proof.skipped, sum(f.endswith(str(place)) for f in failures), caught))
+    return spark.createDataFrame(out, "shard int, segment_id long, size long, entries long, skipped boolean, failures int, caught boolean")
 
 
 @query("SELECT shard, segment_id, CASE WHEN max(segment_id) OVER (PARTITION BY shard) - segment_id < 4 THEN 'hot' ELSE 'cold' END AS tier FROM (SELECT DISTINCT shard, segment_id FROM r)")
@@ -379,9 +448,9 @@ def m21_lost_edge_events(spark, sf_dir):
 EAST, WEST = "tenant = 'acme'", "tenant = 'globex'"
 
 
-@query(f"SELECT {SHOWN}, 'east' AS environment FROM r WHERE {EAST} AND severity = 'error' UNION ALL SELECT {SHOWN}, 'west' FROM r WHERE {WEST} AND severity = 'error'")
+@query(f"SELECT {SHOWN}, 'east' AS environment FROM r WHERE {EAST} UNION ALL SELECT {SHOWN}, 'west' FROM r WHERE {WEST}")
 def f2_federated_compose(spark, sf_dir):
-    base = records(spark, sf_dir).where("severity = 'error'")
+    base = records(spark, sf_dir)
     answers = {"east": (base.where(EAST), Proof()), "west": (base.where(WEST), Proof())}
     return federation.compose(federation.Registry.of(["west", "east"], attested=True), answers).rows.selectExpr(*SHOWN.split(", "), "environment")
 
@@ -399,12 +468,20 @@ def f2_federation_status(spark, sf_dir):
     return spark.createDataFrame(rows, "question string, proof string, reasons int")
 
 
-@query("SELECT * FROM (VALUES ('accepted', NULL, NULL), ('gap', 8, 'not-contiguous'), ('shard', 9, 'shard-changed'), ('broken', 10, 'link-broken')) t(run, at_seq, refusal)")
+@query(f"""WITH RECURSIVE {CHAINED}, run AS (SELECT n, shard, segment_id, seq, prev_hash, chain_link FROM sealed WHERE shard = 1),
+    runs AS (SELECT 'accepted' AS run, * FROM run UNION ALL SELECT 'gap', * FROM run WHERE n <> 107 UNION ALL SELECT 'shard', n, CASE WHEN n = 109 THEN 2 ELSE shard END, segment_id, seq, prev_hash, chain_link FROM run
+      UNION ALL SELECT 'broken', n, shard, segment_id, seq, CASE WHEN n = 110 THEN repeat('0', 64) ELSE prev_hash END, chain_link FROM run),
+    seen AS (SELECT *, lag(chain_link) OVER w AS last_link, lag(segment_id) OVER w AS last_segment, lag(seq) OVER w AS last_seq FROM runs WINDOW w AS (PARTITION BY run ORDER BY n)),
+    bad AS (SELECT run, n, seq, CASE WHEN shard <> 1 THEN 'shard-changed' WHEN NOT ((segment_id = last_segment AND seq = last_seq + 1) OR (segment_id = last_segment + 1 AND seq = 1)) THEN 'not-contiguous' WHEN prev_hash <> last_link THEN 'link-broken' END AS refusal FROM seen)
+    SELECT run, arg_min(seq, n) FILTER (WHERE refusal IS NOT NULL) AS at_seq, arg_min(refusal, n) FILTER (WHERE refusal IS NOT NULL) AS refusal FROM bad GROUP BY run""")
 def f4_replication_refusal(spark, sf_dir):
-    run = sealed(spark, sf_dir).where("shard = 1 and segment_id = 1 and seq <= 12").withColumn("arrival", F.col("seq"))
+    """A whole shard as sent, with a record missing, with one of another shard, and with a broken link."""
+    scratch = Scratch(spark, "replicated")
+    run = sealed(spark, sf_dir).where("shard = 1").withColumn("arrival", (F.col("segment_id") - 1) * testdata.SEGMENT_ROWS + F.col("seq"))
+    run = scratch.save(run, "run")
     cases = {
-        "accepted": run, "gap": run.where("seq != 7"), "shard": run.withColumn("shard", F.when(F.col("seq") == 9, 2).otherwise(F.col("shard"))),
-        "broken": run.withColumn("prev_hash", F.when(F.col("seq") == 10, F.lit("0" * 64)).otherwise(F.col("prev_hash"))),
+        "accepted": run, "gap": run.where("arrival != 107"), "shard": run.withColumn("shard", F.when(F.col("arrival") == 109, 2).otherwise(F.col("shard"))),
+        "broken": run.withColumn("prev_hash", F.when(F.col("arrival") == 110, F.lit("0" * 64)).otherwise(F.col("prev_hash"))),
     }
     names = spark.createDataFrame([(n,) for n in cases], "run string")
     found = None
@@ -420,19 +497,28 @@ def s4_dedup_by_id(spark, sf_dir):
     return ingest.deduplicated(base.unionByName(base.where("seq % 3 = 0"))).groupBy("record_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('weak', 'root-signature', 1), ('weak', 'witnesses', 1)) t(level, check_name, n)")
+@query(f"""WITH segs AS (SELECT shard, segment_id, count(*) FILTER (WHERE {LOST_ROW}) AS lost FROM r GROUP BY shard, segment_id), hit AS (SELECT count(*) AS n FROM segs WHERE lost > 0)
+    SELECT 'weak' AS level, x AS check_name, 1 AS n FROM (VALUES ('root-signature'), ('witnesses')) t(x)
+    UNION ALL SELECT 'broken', x, n FROM hit, (VALUES ('record-count'), ('history-root'), ('index-root'), ('manifest-root'), ('sequence-contiguous'), ('chain-within-segment')) t(x) WHERE n > 0""")
 def v1_verify_findings(spark, sf_dir):
-    rows = chain.seal(records(spark, sf_dir)).persist()
-    made = chain.manifests(rows).persist()
-    found = verify.findings(rows, made)
+    """Findings where records were lost from one shard: what each damaged segment breaks."""
+    rows, made = _pack(spark, sf_dir)
+    found = verify.findings(rows.where(f"NOT ({LOST_ROW})"), made)
     return found.groupBy("level", F.col("check").alias("check_name")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n})" for c, n in (("shown", 7), ("not in this pack", 1), ("not addressed", 5), ("operator", 5))) + ") t(coverage, n)")
+def _pack(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "pack")
+    rows = scratch.save(chain.seal(records(spark, sf_dir)), "sealed")
+    return rows, scratch.save(chain.manifests(rows), "manifests")
+
+
+@query("SELECT framework, reference, CASE WHEN answer <> 'checked' THEN answer WHEN bad IS NULL AND (SELECT count(*) FROM r) > 0 THEN 'shown' ELSE 'not in this pack' END AS coverage, bad AS failing FROM (VALUES "
+       + ", ".join(f"('{f}', '{r}', '{c if isinstance(c, str) else 'checked' if c else 'not addressed'}', {repr(','.join(sorted(set(c) & {'root-signature', 'witnesses'}))) if not isinstance(c, str) and set(c) & {'root-signature', 'witnesses'} else 'NULL'})" for (f, r), c in verify.TEXTS.items())
+       + ") t(framework, reference, answer, bad)")
 def v4_coverage(spark, sf_dir):
-    rows = chain.seal(records(spark, sf_dir)).persist()
-    found = verify.findings(rows, chain.manifests(rows).persist())
-    return verify.coverage(spark, found, rows.count()).groupBy("coverage").agg(F.count("*").alias("n"))
+    rows, made = _pack(spark, sf_dir)
+    return verify.coverage(verify.findings(rows, made), rows.count())
 
 
 @query("SELECT severity, count(*) AS n, min(rank) AS rank FROM (SELECT severity, " + RANK + " AS rank FROM r) GROUP BY severity")
@@ -462,7 +548,9 @@ same("r7_join_inner", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2)
 same("r7_join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
 same("r7_join_full", "SELECT a.run_id AS a, b.run_id AS b FROM (SELECT DISTINCT run_id FROM r WHERE event_type = 'tool_call') a FULL JOIN (SELECT DISTINCT run_id FROM r WHERE event_type = 'budget_check') b ON a.run_id = b.run_id")
 same("r7_join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-same("r7_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+same("r7_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+same("r7_join_right", "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 9000")
+same("r7_join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 same("r7_join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 same("r7_join_records", "SELECT c.c_mktsegment, count(*) AS n FROM r JOIN customer c ON r.agent_id = concat('agent://acme.example/u-', CAST(c.c_custkey AS varchar(20))) GROUP BY c.c_mktsegment", "SELECT c.c_mktsegment, count(*) AS n FROM r JOIN customer c ON r.agent_id = concat('agent://acme.example/u-', CAST(c.c_custkey AS string)) GROUP BY c.c_mktsegment")
 same("r8_join_as_of", "SELECT record_id, (SELECT max(b.recorded_at_nanos) FROM r b WHERE b.agent_id = a.agent_id AND b.event_type = 'budget_check' AND b.recorded_at_nanos <= a.recorded_at_nanos) AS last_budget FROM r a WHERE event_type = 'tool_call'",

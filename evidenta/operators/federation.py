@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from evidenta.operators.chain import COMMITTED, canonical, link_column
 from evidenta.plans.proof import Proof
 
+PART = 1 << 16  # arrival numbers of a range
+
 
 @dataclass(frozen=True)
 class Registry:
@@ -62,19 +64,26 @@ def fan_out(registry: Registry, peers: dict[str, Callable[[], tuple[DataFrame, P
     return compose(registry, answers)
 
 
-def first_refusal(records: DataFrame, shard: int, head: str | None = None, bits: int = 384, columns: list[str] = COMMITTED) -> DataFrame:
+def first_refusal(records: DataFrame, shard: int, head: str | None = None, bits: int = 384, columns: list[str] = COMMITTED, part: int = PART) -> DataFrame:
     """The first reason to refuse a replicated run of records, as one row ``(at_seq, refusal)``; no row if accepted.
 
     Order for each record: shard-changed, not-contiguous, link-broken; before all, empty and, with a ``head``,
-    not-a-continuation. Links are computed here, from bytes, and never taken from the sender.
+    not-a-continuation. A record follows on if it has the next number of its segment or is the first of the next one.
+    Links are computed here, from bytes, and never taken from the sender. ``arrival`` is cut into ranges of ``part``
+    numbers that are checked in parallel; only the last record of each range meets the others.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("arrival")
     body = F.sha2(canonical(columns), bits)
-    rows = records.select("arrival", "shard", "seq", "prev_hash", link_column(F.col("prev_hash"), F.col("seq"), body, bits).alias("made"))
-    seen = rows.select("arrival", "seq", "shard", "prev_hash", F.lag("made").over(order).alias("expected"), F.lag("seq").over(order).alias("before"))
-    first: Column = F.col("before").isNull()
+    rows = records.select("arrival", "shard", "segment_id", "seq", "prev_hash", link_column(F.col("prev_hash"), F.col("seq"), body, bits).alias("made"), F.expr(f"arrival div {part}").alias("part"))
+    last = F.struct("made", "segment_id", "seq")
+    order = Window.partitionBy("part").orderBy("arrival")
+    # one row a range
+    tails = rows.groupBy("part").agg(F.max_by(last, "arrival").alias("tail"))
+    tails = tails.select(F.col("part").alias("tail_part"), F.lag("tail").over(Window.orderBy("part")).alias("tail"))
+    seen = rows.withColumn("last", F.lag(last).over(order)).join(tails, F.col("part") == F.col("tail_part")).withColumn("last", F.coalesce("last", "tail"))
+    first: Column = F.col("last").isNull()
+    follows = ((F.col("segment_id") == F.col("last.segment_id")) & (F.col("seq") == F.col("last.seq") + 1)) | ((F.col("segment_id") == F.col("last.segment_id") + 1) & (F.col("seq") == 1))
     refusal = F.when(first & F.lit(head is not None) & (F.col("prev_hash") != F.lit(head)), "not-a-continuation").when(F.col("shard") != shard, "shard-changed")
-    refusal = refusal.when(~first & (F.col("seq") != F.col("before") + 1), "not-contiguous").when(~first & (F.col("prev_hash") != F.col("expected")), "link-broken")
+    refusal = refusal.when(~first & ~follows, "not-contiguous").when(~first & (F.col("prev_hash") != F.col("last.made")), "link-broken")
     bad = seen.select("arrival", F.col("seq").alias("at_seq"), refusal.alias("refusal")).where("refusal is not null").orderBy("arrival").limit(1).select("at_seq", "refusal")
     empty = records.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("long").alias("at_seq"), F.lit("empty").alias("refusal"))
     return bad.unionByName(empty)

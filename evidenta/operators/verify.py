@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenta.operators import chain
@@ -54,45 +54,34 @@ def findings(sealed: DataFrame, manifests: DataFrame, store_root: str | None = N
     return whole
 
 
-# Which obligation each published text has and what a pack can show of it.
-# framework, reference, bearing (evidenced | silent | operator), requirements in the order they are tried
-OBLIGATIONS = [
-    ("EU AI Act", "Article 12(1)", "evidenced", ["verifies", "records"]),
-    ("EU AI Act", "Article 12(2)", "evidenced", ["records", "chain"]),
-    ("EU AI Act", "Article 12(3)", "silent", []),
-    ("EU AI Act", "Article 19(1)", "operator", []),
-    ("EU AI Act", "Article 19(2)", "operator", []),
-    ("EU AI Act", "Article 26(6)", "operator", []),
-    ("EU AI Act", "Article 113", "silent", []),
-    ("prEN 24970", "Logging of events during operation", "evidenced", ["records", "verifies"]),
-    ("prEN 24970", "Status: not cited in the Official Journal", "silent", []),
-    ("prEN 24970", "Clause-level mapping", "operator", []),
-    ("SR 11-7", "Documentation", "evidenced", ["records", "verifies"]),
-    ("SR 11-7", "Model inventory", "silent", []),
-    ("SR 11-7", "Ongoing monitoring", "evidenced", ["records", "index"]),
-    ("SR 11-7", "Conceptual soundness", "silent", []),
-    ("SR 11-7", "Change control", "evidenced", ["records", "chain"]),
-    ("SOC 2", "CC7.2", "evidenced", ["records", "verifies"]),
-    ("SOC 2", "Integrity of the audit trail itself", "evidenced", ["verifies", "signed", "attested"]),
-    ("SOC 2", "Logical access (CC6 family)", "operator", []),
-]
+#: Published texts on records of automated decisions, and which of our checks bear on each. A text without
+#: checks is one that no record store answers: ``operator`` where an organisation's own process does, else ``not addressed``.
+TEXTS = {
+    ("EU AI Act", "Article 12(1)"): ("record-count", "records-present"),
+    ("EU AI Act", "Article 12(2)"): ("records-present", "chain-within-segment", "chain-across-segments"),
+    ("EU AI Act", "Article 12(3)"): (),
+    ("EU AI Act", "Article 19(1)"): "operator",
+    ("EU AI Act", "Article 26(6)"): "operator",
+    ("SR 11-7", "Documentation"): ("record-count", "manifest-root"),
+    ("SR 11-7", "Ongoing monitoring"): ("index-root", "index-strictly-sorted"),
+    ("SR 11-7", "Change control"): ("chain-within-segment", "chain-across-segments", "first-segment-start"),
+    ("SR 11-7", "Model inventory"): (),
+    ("SOC 2", "CC7.2"): ("records-present", "orphan-records", "time-span"),
+    ("SOC 2", "Audit trail integrity"): ("manifest-root", "history-root", "root-signature", "witnesses"),
+    ("SOC 2", "CC6"): "operator",
+}
 
 
-def coverage(spark: SparkSession, found: DataFrame, n_records: int) -> DataFrame:
-    """``framework, reference, coverage, missing`` for each obligation: shown, not in this pack, not addressed, operator."""
-    rows = found.groupBy("level", "check").count().collect()  # at most a row a kind of check
-    broken = {r["check"] for r in rows if r["level"] == "broken"}
-    notes = {r["check"] for r in rows if r["level"] == "note"}
-    absent = {r["check"] for r in rows}
-    verified = not broken
-    holds = {
-        "verifies": verified, "records": n_records > 0 and "record-decodes" not in broken, "signed": "root-signature" in notes,
-        "attested": bool(notes & {"witness", "anchor"}) and "witnesses" not in absent,
-        "chain": verified and not broken & {"chain-across-segments", "orphan-segment"}, "index": verified and "index-strictly-sorted" not in broken,
-    }
-    out = []
-    for framework, reference, bearing, needs in OBLIGATIONS:
-        missing = next((n for n in needs if not holds[n]), None)
-        label = {"silent": "not addressed", "operator": "operator"}.get(bearing) or ("shown" if missing is None else "not in this pack")
-        out.append((framework, reference, label, missing))
-    return spark.createDataFrame(out, "framework string, reference string, coverage string, missing string")
+def coverage(found: DataFrame, n_records: int) -> DataFrame:
+    """``framework, reference, coverage, failing`` of each text: a join of the checks it rests on with the findings.
+
+    ``shown``: all its checks ran over records and none was found broken or weak; ``not in this pack``: some was, or there are
+    no records; ``failing`` names those checks, comma-joined.
+    """
+    spark = found.sparkSession
+    texts = spark.createDataFrame([(f, r, c if isinstance(c, str) else "checked" if c else "not addressed") for (f, r), c in TEXTS.items()], "framework string, reference string, answer string")
+    needs = spark.createDataFrame([(f, r, c) for (f, r), checks in TEXTS.items() if not isinstance(checks, str) for c in checks], "framework string, reference string, check string")
+    bad = found.where("level in ('broken', 'weak')").select("check").distinct()
+    failing = needs.join(bad, "check").groupBy("framework", "reference").agg(F.array_join(F.array_sort(F.collect_set("check")), ",").alias("failing"))
+    label = F.when(F.col("answer") != "checked", F.col("answer")).when(F.col("failing").isNull() & F.lit(n_records > 0), "shown").otherwise("not in this pack")
+    return texts.join(failing, ["framework", "reference"], "left").select("framework", "reference", label.alias("coverage"), F.when(label == "not in this pack", F.coalesce("failing", F.lit("records-present"))).alias("failing"))

@@ -154,10 +154,11 @@ def test_manifests_and_verification(spark, sealed, manifests, twelve):
     assert "segment-numbering" in broken(sealed.where("not (shard = 0 and segment_id = 1)"), manifests.where("not (shard = 0 and segment_id = 1)"))
     mixed = chain.manifests(sealed.withColumn("hash_alg", F.when(F.col("seq") == 2, "sha256").otherwise("sha384")))
     assert {r["seal_error"] for r in mixed.collect()} == {"mixed-algorithms"}
-    lines = {r["reference"]: r for r in verify.coverage(spark, verify.findings(sealed, manifests), 12).collect()}
-    assert len(lines) == 18 and lines["Article 12(1)"]["coverage"] == "shown" and lines["Integrity of the audit trail itself"]["missing"] == "signed"
-    none = {r["coverage"] for r in verify.coverage(spark, verify.findings(forged, manifests), 12).where("framework = 'SR 11-7'").collect()}
-    assert none == {"not in this pack", "not addressed"}
+    lines = {r["reference"]: r for r in verify.coverage(verify.findings(sealed, manifests), 12).collect()}
+    assert len(lines) == len(verify.TEXTS) and lines["Article 12(1)"]["coverage"] == "shown" and lines["Audit trail integrity"]["failing"] == "root-signature,witnesses"
+    worse = {r["reference"]: r for r in verify.coverage(verify.findings(forged, manifests), 12).collect()}
+    assert worse["Ongoing monitoring"]["coverage"] == "not in this pack" and "chain-within-segment" in worse["Change control"]["failing"] and worse["Model inventory"]["coverage"] == "not addressed"
+    assert {r["coverage"] for r in verify.coverage(verify.findings(sealed, manifests), 0).collect()} == {"not in this pack", "not addressed", "operator"}
 
 
 def test_storage(spark, sealed, manifests, tmp_path):
@@ -204,22 +205,30 @@ def test_replication(sealed):
     assert why(run.withColumn("run_id", F.when(F.col("seq") == 2, "x").otherwise(F.col("run_id")))) == [(3, "link-broken")]
 
 
-def test_erasure(spark):
+def test_erasure(spark, tmp_path):
     payloads = spark.createDataFrame([(format(i, "032x"), "prompt", bytearray(f"text {i}".encode())) for i in range(3)], "record_id string, payload_class string, content binary")
-    sealed = erasure.seal(payloads, "s3cret").persist()
-    keys = erasure.new_keys(sealed, "s3cret").persist()
-    assert {r["status"] for r in erasure.open_(sealed, keys).collect()} == {"opened"}
-    assert {bytes(r["content"]) for r in erasure.open_(sealed, keys).collect()} == {b"text 0", b"text 1", b"text 2"}
-    assert {r["status"] for r in erasure.open_(sealed, erasure.new_keys(sealed, "other")).collect()} == {"wrong-key"}
-    assert {r["status"] for r in erasure.open_(sealed, keys.limit(0)).collect()} == {"missing"}
+    provider = erasure.KeyProvider(spark, f"file://{tmp_path}/keys")
+    plan = erasure.seal(payloads, provider)
+    sealed = plan.persist()
+    assert {r["status"] for r in erasure.open_(sealed, provider.table()).collect()} == {"opened"}
+    assert {bytes(r["content"]) for r in erasure.open_(sealed, provider.table()).collect()} == {b"text 0", b"text 1", b"text 2"}
+    other = erasure.KeyProvider(spark, f"file://{tmp_path}/other")
+    assert {r["status"] for r in erasure.open_(sealed, other.issue(sealed)).collect()} == {"wrong-key"}
+    assert {r["status"] for r in erasure.open_(sealed, provider.table().limit(0)).collect()} == {"missing"}
+    keys = [bytes(r["key"]) for r in provider.table().collect()]
+    assert len(set(keys)) == 3 and not any(k.hex() in plan._jdf.queryExecution().toString() for k in keys)
     ledger = erasure.attribute(None, sealed.where("record_id != '" + format(2, "032x") + "'").select(F.lit("ann").alias("subject"), "key_id"))
-    done = erasure.forget("ann", ledger, keys, 10)
-    assert done.verdict == "allowed" and [r["outcome"] for r in done.manifest.collect()] == ["now", "now"]
-    assert sorted(r["status"] for r in erasure.open_(sealed, done.keys).collect()) == ["erased", "erased", "opened"]
-    assert {r["outcome"] for r in erasure.forget("ann", ledger, done.keys, 10).manifest.collect()} == {"already"}
-    held = erasure.forget("ann", ledger, keys, 10, scheduled_for=20)
-    assert held.verdict == "held" and held.keys.where("key is null").count() == 0
-    assert erasure.forget("bob", ledger, keys, 10).verdict == "not_applicable"
+    held = erasure.forget("ann", ledger, provider, 10, scheduled_for=20)
+    assert held.verdict == "held" and held.ledger.count() == 2 and provider.table().where("key is null").count() == 0
+    assert {(r["outcome"], r["completes_at"], r["reversible"]) for r in held.manifest.collect()} == {("scheduled", 20, True)}
+    done = erasure.forget("ann", held.ledger, provider, 20, scheduled_for=20)
+    assert done.verdict == "allowed" and [(r["outcome"], r["reversible"]) for r in done.manifest.collect()] == [("now", False)] * 2 and done.ledger.count() == 0
+    assert sorted(r["status"] for r in erasure.open_(sealed, provider.table()).collect()) == ["erased", "erased", "opened"]
+    # issuing keys again does not bring destroyed ones back, and no file holds them any more
+    assert sorted(r["status"] for r in erasure.open_(sealed, provider.issue(sealed)).collect()) == ["erased", "erased", "opened"]
+    assert len(os.listdir(tmp_path / "keys")) == 1
+    assert {r["outcome"] for r in erasure.forget("ann", ledger, provider, 30).manifest.collect()} == {"already"}
+    assert erasure.forget("bob", ledger, provider, 10).verdict == "not_applicable"
     got = spark.range(1).select(erasure.most_restrictive(F.array(F.lit("document"), F.lit("prompt"), F.lit("diagnostic"))).alias("c")).first()["c"]
     assert got == "prompt"
 
@@ -303,7 +312,7 @@ def test_telemetry(spark):
     (same,) = telemetry.map_requests(spark.createDataFrame([(bytearray(request),)], "value binary"), form="protobuf").collect()
     assert same == r
     assert telemetry.map_requests(spark.createDataFrame([(bytearray(request[:-3]),)], "value binary"), form="protobuf").first()["reject_reason"] == "truncated"
-    assert telemetry.holds_nothing([{"a": None}]) and not telemetry.holds_nothing("") and not telemetry.holds_nothing([])
+    assert telemetry.has_gap([{"a": None}]) and not telemetry.has_gap("") and not telemetry.has_gap([])
     assert telemetry.render({"b": [1, None, b"\x01"], "a": "x"}) == '{"a":"x","b":[1,null,0x01]}'
 
 
