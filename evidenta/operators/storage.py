@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +46,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file only if it is absent; False if it is there."""
+    """Create a file only if it is absent, or empty, which is what a run that died while creating it leaves; False if it is there."""
     jvm, p, fs = _fs(spark, path)
+    there = fs.exists(p)
+    if there and fs.getFileStatus(p).getLen():
+        return False
     try:
-        out = fs.create(p, False)
-    except Exception as e:  # noqa: BLE001  py4j wraps what the file system throws
-        if "exist" in str(e).lower():
+        out = fs.create(p, there)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":  # another run was first
             return False
         raise
     out.write(bytearray(text.encode()))
@@ -60,7 +64,7 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
 
 def _text(spark: SparkSession, path: str) -> str | None:
     _, p, fs = _fs(spark, path)
-    if not fs.exists(p):
+    if not fs.exists(p) or not fs.getFileStatus(p).getLen():
         return None
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 

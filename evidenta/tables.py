@@ -36,10 +36,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{step}"
 
-    def save(self, frame: DataFrame, step: str = "table") -> DataFrame:
+    def save(self, frame: DataFrame, step: str = "table", codec: str = "snappy") -> DataFrame:
         """Write a frame as Parquet and read it back."""
         path = self.path(step)
-        frame.write.parquet(path)
+        frame.write.option("compression", codec).parquet(path)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         saved.scratch_path = path
         return saved
@@ -49,3 +49,7 @@ class Scratch:
         text = getattr(frame_or_path, "scratch_path", frame_or_path)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now: its cleaner follows the driver's garbage collection."""
+        self.spark._jvm.System.gc()

@@ -172,6 +172,8 @@ def test_storage(spark, sealed, manifests, tmp_path):
     assert storage.fetch(spark, folder, "s1").exceptAll(sealed).count() == 0
     with pytest.raises(FileNotFoundError):
         storage.fetch(spark, folder, "s2")
+    (tmp_path / "pub" / "s3.manifest").write_text("")  # a run that died while it committed
+    assert storage.publish(sealed, folder, "s3") == "committed" and storage.fetch(spark, folder, "s3").count() == sealed.count()
     assert storage.reseal_differences(sealed, manifests).count() == 0
     root = storage.evidence_pack(sealed, manifests, f"file://{tmp_path}/pack")
     records, held, header = storage.open_pack(spark, f"file://{tmp_path}/pack")
