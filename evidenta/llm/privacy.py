@@ -1,18 +1,22 @@
 """Personal data by patterns and bootstrapped contextual extraction, by Spark functions alone.
 
-Patterns give the base spans (email, ip, card, phone). Their values are the seed instances. The two words
-left of an instance are its lexical pattern. Instances and lexical patterns form a graph that is scored in
-rounds: a pattern's confidence is the share of all its occurrences in the corpus, at any place where an
-instance could start, that known instances follow; it needs a least number of different instances; an unknown identifier-like token
-is accepted once the chance that all its patterns are wrong falls below a bound, and joins the instances of
-the next round. Accepted tokens are added as spans of kind ``context``; base spans stay.
-
-Texts are never shuffled: rows of instances and candidates are. A pattern's occurrences are counted in one scan
+Patterns give the base spans (email, ip, card, phone). Their values are the seed instances. An instance has lexical
+patterns of two forms: the two words left of it, and its own word shape (letters and digits masked, as they are and
+with runs shortened). Instances and patterns form a graph that is scored in rounds until nothing changes: a pattern's confidence is
+the smoothed share of all its occurrences in the corpus (for words on the left, at any place where an
+instance could start) that known instances have; it needs a least number of different instances, and a shape, which says less, a higher share.
+An unknown identifier-like token is accepted once the chance that all its patterns are wrong falls below a bound, and
+joins the instances of the next round. Accepted tokens are added as spans of kind ``context``; base spans stay.
+
+A token is a run of letters and digits, joined by ``. _ @ + -``, of at least ``LEAST_LENGTH`` code points with a digit.
+
+Texts are never shuffled: rows of instances and candidates are. Occurrences of words on the left are counted in one scan
 of the texts by the few patterns that enough instances share; without any, that scan does not
-happen. Patterns are broadcast only while their number is within a bound, else the counts are joined by shuffle.
+happen. Shapes are counted from the candidates themselves. Patterns are broadcast only while their number is within a bound, else the counts are joined by shuffle.
 
 Defined cases: a null text is empty; a null ``doc_id`` is carried; repeated rows are scanned each, and
-equal values count once; an empty table gives no row; other columns are ignored.
+equal values count once; an empty table gives no row; other columns are ignored. A text may have any length: matching is
+linear, and words on the left are found however far away they are.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidenta.llm.common import Scratch
+from evidenta.llm.common import Scratch, quoted
 from evidenta.llm.spans import found, listed, placed
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -29,14 +33,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# A token of letters, digits and hyphens with at least LEAST_DIGITS digits.
-IDENTIFIER = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9-]*+(?![A-Za-z0-9])"
-ROUNDS = 3
+# A token with a digit: letters and digits, joined by . _ @ + -
+IDENTIFIER = r"(?<![A-Za-z0-9])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9]++(?:[._@+-]++[A-Za-z0-9]++)*+"
+LEAST_LENGTH = 5
 LEAST_VALUES = 3  # different known instances that a lexical pattern needs
-CONFIDENT = 0.5  # share of a pattern's occurrences that known instances follow
+CONFIDENT, SHAPE_CONFIDENT = 0.5, 0.6  # share of a pattern's occurrences that known instances have
 ACCEPT = 0.5  # an instance's chance of being one
-LEAST_DIGITS = 4
-REACH = 64  # code points left of a span in which its two words are sought first
+REACH = 64  # code points left of a span in which its two words are sought first, then further away
 MOST_BROADCAST = 20_000  # lexical patterns, of two hashes each
 SPACE = r"\\x20\\x09-\\x0D"  # in SQL
 # Places inside a word where an identifier, a card, an ip, a phone or an email could start.
@@ -126,67 +129,83 @@ def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int)
     return places.join(small(wanted.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("n_seen"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts, ``base_sha256``, ``spans`` and ``n_context``."""
+def _shape(value: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({value}, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '0')"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", withheld: float = 0.0) -> DataFrame:
+    """One row per document: counts, ``base_sha256``, ``spans``, ``n_context`` and ``n_found``, the number of all spans.
+
+    ``withheld``: the share of base values, drawn by hash, that are no seeds but candidates, for measuring what the
+    bootstrap discovers; their base spans stay and ``n_withheld`` counts them.
+    """
     scratch = Scratch(docs.sparkSession, "privacy")
     t = F.col("t")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", *base(t), found(t, IDENTIFIER, t.rlike(r"[0-9](?:[A-Za-z-]*+[0-9]){3}")).alias("f_token"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("t"))
+    rows = rows.select("doc_id", "t", *base(t), found(t, IDENTIFIER, t.rlike("[0-9]")).alias("f_token"))
     rows = rows.select("doc_id", "t", *[placed(f"f_{k}").alias(f"all_{k}") for k in KINDS], F.expr(
-        f"if(f_token is null or not exists(f_token.m, x -> length({_digits('x')}) >= {LEAST_DIGITS}), null, f_token)").alias("f_token"))
+        f"if(f_token is null or not exists(f_token.m, x -> length(x) >= {LEAST_LENGTH}), null, f_token)").alias("f_token"))
     rows = rows.select("doc_id", "t", *[valid(k).alias(k) for k in KINDS], placed("f_token").alias("all_token"))
     clash = " or ".join(f"exists({k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS)
-    rows = rows.select("doc_id", "t", *KINDS, F.expr(f"if(size(all_token) = 0, all_token, filter(all_token, x -> length({_digits('x.m')}) >= {LEAST_DIGITS} and not ({clash})))").alias("token"))
-
-    def with_context(name: str, known: bool) -> str:
-        return f"transform({name}, x -> named_struct('s', x.s, 'e', x.e, 'value', sha2(x.m, 256), 'pattern', {_context('x.s')}, 'known', {str(known).lower()}))"
-
-    rows = rows.select("doc_id", *KINDS, F.expr("concat(" + ", ".join([*(with_context(k, True) for k in KINDS), with_context("token", False)]) + ")").alias("x"))
-    # a pattern is kept as its hash, that of its first word, and its length
-    rows = rows.select("doc_id", *KINDS, F.expr("transform(x, x -> named_struct('s', x.s, 'e', x.e, 'value', x.value, 'pattern', nullif(xxhash64(x.pattern), xxhash64('')), 'first', xxhash64(substring_index(x.pattern, ' ', 1)), 'long', length(x.pattern), 'known', x.known))").alias("instances"))
+    rows = rows.select("doc_id", "t", *KINDS, F.expr(f"if(size(all_token) = 0, all_token, filter(all_token, x -> length(x.m) >= {LEAST_LENGTH} and not ({clash})))").alias("token"))
+
+    def with_context(name: str, known: str) -> str:
+        return f"transform({name}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'left', {_context('x.s')}, 'known', {known}))"
+
+    seed = f"pmod(xxhash64(x.m, 5), 1000) >= {int(1000 * withheld)}" if withheld else "true"
+    rows = rows.select("doc_id", *KINDS, F.expr("concat(" + ", ".join([*(with_context(k, seed) for k in KINDS), with_context("token", "false")]) + ")").alias("x"))
+    # a pattern is kept as its hash; that of words on the left also as that of its first word, and its length
+    left = "named_struct('pattern', xxhash64(x.left), 'first', xxhash64(substring_index(x.left, ' ', 1)), 'long', length(x.left))"
+    shapes = ", ".join(f"named_struct('pattern', xxhash64('shape', {v}), 'first', cast(null as bigint), 'long', 0)" for v in (_shape("x.m"), f"regexp_replace({_shape('x.m')}, '(.)\\\\1+', '$1')"))
+    rows = rows.select("doc_id", *KINDS, F.expr(
+        f"transform(x, x -> named_struct('s', x.s, 'e', x.e, 'value', sha2(x.m, 256), 'known', x.known, 'patterns', concat(if(x.left = '', array(), array({left})), array({shapes}))))").alias("instances"))
     # rows without texts; the row number tells repeated rows apart
     held = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "found")
     flat = held.select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    accepted = _bootstrap(docs.select(F.col(text_col).alias("t")).where("t is not null"), flat.where("pattern is not null"), scratch)
+    links = flat.select("value", "known", F.explode("patterns").alias("p")).select("value", "known", "p.*")
+    accepted = _bootstrap(docs.select(F.col(quoted(text_col)).alias("t")).where("t is not null"), links, scratch)
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
     if accepted is None:
         whole = held.withColumn("context", none)
     else:
         more = flat.where("not known").join(accepted, "value").groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("context"))
         whole = held.join(more, "row", "left").withColumn("context", F.coalesce("context", none))
+    counts = [F.size(k).cast("long") for k in KINDS]
+    extra = [F.size(F.expr(f"filter(instances, x -> not x.known and exists(concat({', '.join(KINDS)}), y -> y.s = x.s and y.e = x.e))")).cast("long").alias("n_withheld")] if withheld else []
     return whole.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed(KINDS, F.col), 256).alias("base_sha256"),
-        listed([*KINDS, "context"], F.col).alias("spans"), F.size("context").cast("long").alias("n_context"),
+        "doc_id", *[c.alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)], F.sha2(listed(KINDS, F.col), 256).alias("base_sha256"),
+        listed([*KINDS, "context"], F.col).alias("spans"), F.size("context").cast("long").alias("n_context"), (sum(counts[1:], counts[0]) + F.size("context")).cast("long").alias("n_found"), *extra,
     )
 
 
 def _bootstrap(texts: DataFrame, instances: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Values accepted by confident patterns, or None without any. instances: ``value, pattern, known``."""
+    """Values accepted by confident patterns, or None without any. instances: ``value, pattern, known, first, long``; ``first`` is null for a shape."""
     # distinct links of the graph with their numbers of occurrences: hot values and patterns are pre-aggregated
     links = scratch.save(instances.groupBy("pattern", "value", "known").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.max("long").alias("long")), "links")
     if links.where("not known").isEmpty():
         return None
-    known = links.where("known").select("value").distinct()
-    accepted, total, counted = None, None, None
-    for k in range(ROUNDS):
-        support = links.join(known, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_hits"), F.max("first").alias("first"), F.max("long").alias("long")).where(F.col("n_values") >= LEAST_VALUES)
+    # shapes are seen wherever their tokens are
+    total = scratch.save(links.where("first is null").groupBy("pattern").agg(F.sum("n").alias("n_seen")), "shapes")
+    known, accepted, counted = links.where("known").select("value").distinct(), None, None
+    # the accepted set only grows, so this ends
+    while True:
+        support = links.join(known, "value", "left_semi").groupBy("pattern").agg(F.countDistinct("value").alias("n_values"), F.sum("n").alias("n_hits"), F.max("first").alias("first"), F.max("long").alias("long")).where(F.col("n_values") >= LEAST_VALUES)
         # only patterns that could give a new instance
-        support = scratch.save(support.join(links.where("not known").select("pattern").distinct(), "pattern", "left_semi"), f"support-{k}")
-        fresh = support if counted is None else support.join(counted, "pattern", "left_anti")
+        support = scratch.save(support.join(links.where("not known").select("pattern").distinct(), "pattern", "left_semi"), "support")
+        fresh = support.where("first is not null")
+        fresh = fresh if counted is None else fresh.join(counted, "pattern", "left_anti")
         n, most = fresh.agg(F.count("*"), F.max("long")).first()
         if n:
-            seen = _seen(texts, "t", fresh, n, most)
-            seen = scratch.save(seen, f"seen-{k}")
-            total = seen if total is None else total.unionByName(seen)
-            counted = total.select("pattern")
-        if total is None:
-            return accepted
-        confident = support.join(total, "pattern").select("pattern", (F.col("n_hits") / F.greatest("n_seen", "n_hits")).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+            seen = scratch.save(_seen(texts, "t", fresh.select("pattern", "first"), n, most), "seen")
+            total = total.unionByName(seen)
+            counted = seen.select("pattern") if counted is None else counted.unionByName(seen.select("pattern"))
+        share = F.col("n_hits") / (F.greatest("n_seen", "n_hits") + 1)
+        confident = support.join(total, "pattern").select("pattern", share.alias("confidence"), F.col("first").isNull().alias("shape"))
+        confident = confident.where(F.col("confidence") >= F.when(F.col("shape"), SHAPE_CONFIDENT).otherwise(CONFIDENT))
         chance = 1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
         new = links.where("not known").join(confident, "pattern").groupBy("value").agg(chance.alias("chance")).where(F.col("chance") >= ACCEPT).select("value")
-        new = scratch.save(new if accepted is None else new.join(accepted, "value", "left_anti"), f"new-{k}")
+        new = scratch.save(new if accepted is None else new.join(accepted, "value", "left_anti"), "new")
         if new.isEmpty():
             return accepted
         accepted = new if accepted is None else accepted.unionByName(new)
         known = known.unionByName(new).distinct()
-    return accepted

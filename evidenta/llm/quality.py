@@ -12,7 +12,8 @@ the ``sample`` labelled documents whose ids have the smallest hashes.
 
 Defined cases: a null text is empty; rows with a null id or label do not train; an id labelled
 more than once counts with its lowest label; with under ``least`` examples of either label no rule is learned;
-repeated rows are judged each; an empty table gives no row; other columns are ignored.
+repeated rows are judged each; an empty table gives no row; other columns are ignored, whatever
+their names. A text may have any length; what a worker holds of it is its words and their windows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidenta.llm.common import quoted, unused
+
 SAMPLE = 4000  # labelled documents that train the list; the rest is free for held-out measures
 PRECISION, LEAST, MOST_RULES, MOST_CONDITIONS = 0.95, 20, 12, 4
 SYMBOLS = "#*$%&|<>"
@@ -203,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     )
-    some = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select(F.col("label_id"), "quality", F.col(text_col).alias("the_body"))
+    bodies = docs.select(F.col(quoted(id_col)).alias("body_id"), F.col(quoted(text_col)).alias("the_body"))
+    some = bodies.join(F.broadcast(chosen), F.col("body_id") == F.col("label_id")).select("label_id", "quality", "the_body")
     measured = with_statistics(some, ["label_id", "quality"], "the_body")
     rows = measured.groupBy("label_id", "quality").agg(*[F.min(c).alias(c) for c in COUNTS]).toPandas()
     rows = rows.assign(at=rows["label_id"].astype("int64")).sort_values("at", ignore_index=True) if len(rows) else rows
@@ -238,6 +242,6 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The documents that are kept; all columns as given, no shuffle."""
     kept = F.pandas_udf(lambda texts: pd.DataFrame([statistics(t) for t in texts], columns=COUNTS), ", ".join(f"{c} long" for c in COUNTS))
-    judged = docs.withColumn("quality_counts", kept(F.col(text_col)))
-    flat = judged.select(*docs.columns, *[F.col(f"quality_counts.{c}").alias(f"quality_{c}") for c in COUNTS])
-    return flat.where(~base_failed("quality_") & (verdict(rules, "quality_") == 0)).select(docs.columns)
+    held = unused(docs, "quality_counts")
+    judged = docs.withColumn(held, kept(F.col(quoted(text_col))))
+    return judged.where(~base_failed(f"{held}.") & (verdict(rules, f"{held}.") == 0)).select(*[quoted(c) for c in docs.columns])

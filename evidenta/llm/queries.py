@@ -9,7 +9,7 @@ from evidenta.llm.common import documents
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +53,19 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+#: What SQL can express of the operators' results at a bearable speed: equal payloads, and links of all pairs with their closure.
+ORACLE = {
+    "op1_arc_to_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+      f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p), t AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM t""",
+    "op3_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+      fit AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      links AS (SELECT a.n AS a, b.n AS b FROM fit a JOIN fit b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+      reach(n, m) AS (SELECT n, n FROM v UNION SELECT r.n, l.b FROM reach r JOIN links l ON l.a = r.m),
+      least AS (SELECT r.n, min(w.vec_id) AS component_id FROM reach r JOIN v w ON w.n = r.m GROUP BY r.n), counts AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+      SELECT v.vec_id, coalesce(c.n_links, 0)::BIGINT AS n_links, l.component_id, coalesce(v.vec_id = l.component_id, true) AS kept FROM v JOIN least l USING (n) LEFT JOIN counts c USING (n)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidenta.llm.common import Scratch, components
+from evidenta.llm.common import Scratch, components, quoted, unused
 
 BITS, BUDGET, HALF = 64, 3, 1
 LEAVES = 4096  # of a task's subtree pair, on average
@@ -260,5 +260,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names it and stays.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone_id = unused(docs, "gone_id")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(quoted(id_col)) == F.col(gone_id), "left_anti")

@@ -13,7 +13,8 @@ counts and one star per connected group, never pairs.
 
 Defined cases: rows whose label or id is null, or whose vector is null, empty, zero, or holds a null
 or non-finite component, link with nothing; vectors of different lengths never link; rows that
-repeat are separate vectors and count as each other's links; other columns are ignored.
+repeat are separate vectors and count as each other's links, and so are different vectors under one id; other
+columns are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -138,13 +139,14 @@ def range_join(
     rows = rows.withColumn("v", F.when(fit, v))
     keys = [F.when(v.isNotNull(), F.xxhash64(F.lit(k), "label", "v")).alias(f"k{k}") for k in (1, 2)]
     classes = (
-        rows.where(v.isNotNull()).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-        .select("label", F.size("v").alias("dim"), "rep", "weight", F.col("v").alias("unit_of"), *keys)
+        rows.where(v.isNotNull()).groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
+        .select("label", F.size("v").alias("dim"), "first_id", "weight", F.col("v").alias("unit_of"), *keys)
     )
-    classes = scratch.save(classes, "classes")
+    # a class has a number of its own: different vectors may share an id
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     pivots = spark.sparkContext.broadcast(_pivots(classes, classes.count(), cell, most_pivots))
     schema = classes.select("label", "dim", F.lit(0).alias("cell"), F.lit(True).alias("home"), "rep", "weight", "unit_of").schema
-    dealt = scratch.save(classes.drop("k1", "k2").mapInPandas(lambda it: _deal(it, pivots.value, eps), schema), "dealt")
+    dealt = scratch.save(classes.drop("k1", "k2", "first_id").mapInPandas(lambda it: _deal(it, pivots.value, eps), schema), "dealt")
     cells = dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
     where = ["label", "dim", "cell"]
     cut = dealt.join(cells.select(*where, F.ceil(F.col("n") / block).cast("int").alias("blocks")), where)
@@ -159,9 +161,12 @@ def range_join(
     joined = scratch.save(joined, "links")
     counts = joined.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(joined.where("rep != other"), scratch, "rep", "other")
+    grouped = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "first_id"), "rep")
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    reached = grouped.join(least, "component").select("rep", "least_id")
     named = (
-        classes.select("rep", "weight", "k1", "k2").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.select("rep", "first_id", "weight", "k1", "k2").join(counts, "rep", "left").join(reached, "rep", "left")
+        .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("component_id"))
     )
     found = rows.select("vec_id", *keys).join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")

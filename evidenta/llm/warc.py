@@ -9,7 +9,7 @@ WARC equivalents are synthesised: a name-based ``urn:uuid`` from URL, date, payl
 the 14-digit date as ISO 8601, the record type from the content (``warcinfo`` for a version block), and
 SHA-256 block and payload digests. Of equal payloads of at least ``floor`` bytes, the one with the
 smallest id stays a ``response``; the others become ``revisit`` records that keep the HTTP header
-and refer to it.
+and refer to it by ``WARC-Refers-To``, its target URI and its date. An unreadable date becomes that of the volume.
 
 Archives are real files in the shared folder. Executors hand finished volumes to Spark's text
 writer (a value is written byte for byte, and the file gzipped), with ``CR LF CR LF`` between WARC records and ``LF`` between ARC
@@ -105,10 +105,10 @@ def plain(data: bytes) -> bytes:
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of concatenated ARC volumes, the version block of each first.
 
-    Raises ValueError for a header line that has not the fields of its version, or a record
-    that ends before its declared length.
+    Raises ValueError for a header line that has not the fields of its version, a record
+    that ends before its declared length, or one without a readable date in a volume without one.
     """
-    at, version, n = 0, 1, 0
+    at, version, n, opened_at = 0, 1, 0, ""
     while at < len(data):
         if data[at : at + 1] in b"\r\n":  # between records
             at += 1
@@ -127,7 +127,14 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         body = data[end + 1 : end + 1 + length]
         if len(body) != length:
             raise ValueError(f"an ARC record at byte {at} declares {length} bytes and has {len(body)}")
-        yield {**dict(zip(FIELDS[version], fields, strict=True)), "version": version, "position": n, "body": body}
+        record = {**dict(zip(FIELDS[version], fields, strict=True)), "version": version, "position": n, "body": body}
+        if fields[0].startswith("filedesc:"):
+            opened_at = record["Archive-date"]
+        # an unreadable date is that of the volume, which has to be readable
+        record["when"] = iso_date(record["Archive-date"]) or iso_date(opened_at)
+        if record["when"] is None:
+            raise ValueError(f"no readable date for the ARC record at byte {at}: {record['Archive-date']!r}, in a volume of {opened_at!r}")
+        yield record
         n += 1
         at = end + 1 + length
 
@@ -142,13 +149,13 @@ def split_http(body: bytes) -> tuple[bytes, dict[str, str], bytes]:
     return body[:end], {k.strip().lower().decode("latin-1"): v.strip().decode("latin-1") for k, _, v in named}, body[end:]
 
 
-def iso_date(date: str) -> str:
-    """A 14-digit (or shorter) ARC date as ISO 8601; what is missing is the earliest."""
+def iso_date(date: str) -> str | None:
+    """A 14-digit (or shorter) ARC date as ISO 8601; what is missing is the earliest. None if it is unreadable."""
     digits = (date + "00000101000000"[len(date) :])[:14] if len(date) < 14 else date[:14]
     try:
         return datetime.strptime(digits, "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     except ValueError:
-        return "1970-01-01T00:00:00Z"
+        return None
 
 
 def record_id(url: str, date: str, digest: str, place: str) -> str:
@@ -165,31 +172,36 @@ def warc_record(kind: str, url: str, date: str, rid: str, block: bytes, mime: st
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
+def _pages(path: str, data: bytes) -> Iterator[tuple[dict, str | None, bytes, str, str]]:
+    """Records of an ARC file: fields, page id, payload, payload digest and WARC record id."""
+    for r in parse_arc(plain(data)):
+        _, named, payload = split_http(r["body"])
+        digest = hashlib.sha256(payload).hexdigest()
+        place = f"{path.rsplit('/', 1)[-1]}#{r['position']}"
+        yield r, named.get("x-page-id"), payload, digest, record_id(r["URL"], r["when"], digest, place)
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Id, size and digest of each page record of ARC files."""
+    """Id, size, digest and WARC identity of each page record of ARC files."""
     for batch in batches:
-        for data in batch["content"]:
-            rows = []
-            for r in parse_arc(plain(data)):
-                if not r["URL"].startswith("filedesc:"):
-                    _, named, payload = split_http(r["body"])
-                    rows.append((named.get("x-page-id"), len(payload), hashlib.sha256(payload).hexdigest()))
-            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest"])
+        for path, data in zip(batch["path"], batch["content"], strict=True):
+            rows = [(page_id, len(payload), digest, rid, r["URL"], r["when"]) for r, page_id, payload, digest, rid in _pages(path, data) if not r["URL"].startswith("filedesc:")]
+            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_id", "url", "date"])
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["page_id", "url", "date", "mime", "rid", "digest", "body"]
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"], strict=True):
-            rows = []
-            for r in parse_arc(plain(data)):
-                _, named, payload = split_http(r["body"])
-                place = f"{path.rsplit('/', 1)[-1]}#{r['position']}"
-                rows.append((named.get("x-page-id"), r["URL"], r["Archive-date"], r["Content-type"], place, hashlib.sha256(payload).hexdigest(), r["body"]))
-                if sum(len(x[-1]) for x in rows[-1:]) >= VOLUME or len(rows) >= 256:
-                    yield pd.DataFrame(rows, columns=["page_id", "url", "date", "mime", "place", "digest", "body"])
-                    rows = []
+            rows, held = [], 0
+            for r, page_id, _, digest, rid in _pages(path, data):
+                rows.append((page_id, r["URL"], r["when"], r["Content-type"], rid, digest, r["body"]))
+                held += len(r["body"])
+                if held >= VOLUME or len(rows) >= 256:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "url", "date", "mime", "place", "digest", "body"])
+                yield pd.DataFrame(rows, columns=columns)
 
 
 def _warc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,20 +209,19 @@ def _warc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts, held = [], 0
     for batch in batches:
         out = []
-        for page_id, url, date, mime, place, digest, body, refers_to in batch.itertuples(index=False):
-            when, digest_ = iso_date(date), f"sha256:{digest}"
+        for url, when, mime, rid, digest, body, refers_to, first_rid, first_url, first_date in batch.itertuples(index=False):
+            digest_ = f"sha256:{digest}"
             if url.startswith("filedesc:"):
-                parts.append(warc_record("warcinfo", url, when, record_id(url, date, digest, place), body, "text/plain"))
+                parts.append(warc_record("warcinfo", url, when, rid, body, "text/plain"))
             else:
-                head, _, payload = split_http(body)
+                head = split_http(body)[0]
                 form = "application/http; msgtype=response" if head else mime
-                rid = record_id(url, date, digest, page_id or place)
-                if refers_to is None or refers_to != refers_to:
+                if first_rid is None or first_rid != first_rid:
                     parts.append(warc_record("response" if head else "resource", url, when, rid, body, form, WARC_Payload_Digest=digest_))
                 else:
                     parts.append(warc_record(
-                        "revisit", url, when, rid, head, form, WARC_Payload_Digest=digest_, X_Refers_To_Page=refers_to,
-                        WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                        "revisit", url, when, rid, head, form, WARC_Payload_Digest=digest_, WARC_Refers_To=first_rid, WARC_Refers_To_Target_URI=first_url, WARC_Refers_To_Date=first_date,
+                        X_Refers_To_Page=refers_to, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                     ))
             held += len(parts[-1]) + 4
             if held >= VOLUME:
@@ -243,7 +254,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_record", "record_id", "url", "date"]
     for batch in batches:
         for data in batch["content"]:
             rows = []
@@ -256,7 +267,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = int(named["content-length"]) if kind == "revisit" else len(payload)
                 if kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"the payload of {head['warc-record-id']} does not match its digest")
-                rows.append((named.get("x-page-id"), size, digest, kind, head.get("x-refers-to-page"), head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"]))
+                rows.append((named.get("x-page-id"), size, digest, kind, head.get("x-refers-to-page"), head.get("warc-refers-to"), head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"]))
             yield pd.DataFrame(rows, columns=columns)
 
 
@@ -280,22 +291,24 @@ def convert(spark, arc_folder: str, warc_folder: str, scratch: Scratch, floor: i
     Which record is the response of its payload is found on digests first (small rows). Payloads
     then go through unshuffled unless the table of revisits is too large to broadcast.
     """
-    facts = opened(spark, arc_folder).mapInPandas(_facts, "page_id string, payload_bytes long, payload_digest string")
+    facts = opened(spark, arc_folder).mapInPandas(_facts, "page_id string, payload_bytes long, payload_digest string, record_id string, url string, date string")
     facts = scratch.save(facts.withColumn("id", F.col("page_id").cast("long")), "facts")
-    first = facts.where(F.col("payload_bytes") >= floor).groupBy("payload_digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    again = facts.where(F.col("payload_bytes") >= floor).join(first, "payload_digest").where("id is null or id != first_id")
-    again = scratch.save(again.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest_of"), F.col("first_id").cast("string").alias("refers_to")).distinct(), "revisits")
-    schema = "page_id string, url string, date string, mime string, place string, digest string, body binary"
+    named = F.struct("id", "record_id", "url", "date")
+    large = facts.where(F.col("payload_bytes") >= floor)
+    first = large.where("id is not null").groupBy("payload_digest").agg(F.min(named).alias("first"))
+    again = large.join(first, "payload_digest").where("id is null or id != first.id")
+    again = scratch.save(again.select(F.col("record_id").alias("of"), F.col("first.id").cast("string").alias("refers_to"), F.col("first.record_id").alias("first_rid"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date")), "revisits")
+    schema = "page_id string, url string, date string, mime string, rid string, digest string, body binary"
     records = opened(spark, arc_folder).mapInPandas(_parsed, schema)
-    # joined on the digest too: a null id is told by its payload; Spark broadcasts the revisits only if they are small
-    marked = records.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("digest_of")), "left")
-    marked = marked.select("page_id", "url", "date", "mime", "place", "digest", "body", "refers_to")
+    # record ids are unique; Spark broadcasts the revisits only if they are small
+    marked = records.join(again, F.col("rid") == F.col("of"), "left")
+    marked = marked.select("url", "date", "mime", "rid", "digest", "body", "refers_to", "first_rid", "first_url", "first_date")
     files(marked.mapInPandas(_warc, "bytes binary"), warc_folder, "\r\n\r\n")
 
 
 def read_warc(spark, folder: str) -> DataFrame:
     """Page records of WARC files; payloads are checked against their digests."""
-    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, url string, date string"
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, refers_to_record string, record_id string, url string, date string"
     found = opened(spark, folder).mapInPandas(_read, schema)
     return found.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
 

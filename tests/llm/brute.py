@@ -37,39 +37,73 @@ def classes(n, pairs):
 
 
 def levenshtein(a, b):
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def line_dedup(docs):
+    """Row by row; the least over deletions to the left is a running minimum."""
+    x, y = (np.array([ord(c) for c in s], dtype=np.int64) for s in (a, b))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i in range(len(x)):
+        best = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (y != x[i]))])
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
+
+
+def normal_lines(text):
+    return [x.strip(" ") for x in regex.sub(r"[^\p{L}\p{N}\n]+", " ", (text or "").lower()).split("\n")]
+
+
+def line_marks(line):
+    """SimHashes of a line's words and word pairs, and its ends: words at its start and at its end, by their number."""
+    w = line.split(" ")
+
+    def marked(h):
+        bits = (np.array(h, dtype=np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        return sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(h))
+
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    # Spark's hash of two values seeds the second with that of the first
+    pairs = [xxhash.xxh64_intdigest(b.encode(), a) for a, b in zip(h, w[1:])]
+    sim = marked(h), marked(pairs)
+    share = max(len(w) // 8, min(4, len(w) // 2))
+    sizes = [share]
+    if share > 4:
+        step = 1
+        while share >= 8 * step:
+            step *= 2
+        top = share // step * step
+        sizes = [top, top - (max(1, step // 2) if top == 4 * step and step > 1 else step)]
+    return sim, {(n, *w[:n]) for n in sizes}, {(n, *w[-n:]) for n in sizes}
+
+
+def similar(a, b):
+    longer = max(len(a), len(b))
+    return min(len(a), len(b)) >= 0.8 * longer and levenshtein(a, b) <= 0.2 * longer + 1e-9
+
+
+def line_links(lines):
+    marks = [line_marks(x) for x in lines]
+    out = []
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines)):
+            if line_near(marks[i], marks[j]) and similar(lines[i], lines[j]):
+                out.append((i, j))
+    return out
+
+
+def line_near(a, b):
+    words, pairs = ((x ^ y).bit_count() for x, y in zip(a[0], b[0]))
+    return words <= 3 or bool(words <= 10 and pairs <= 16 and (a[1] & b[1] or a[2] & b[2]))
+
+
+def line_dedup(docs, links=line_links):
     """docs: (id, text) in order of id. The cleaned texts."""
     seen = {}
     for i, text in docs:
-        for p, line in enumerate(regex.sub(r"[^\p{L}\p{N}\n]+", " ", (text or "").lower()).split("\n")):
-            line = line.strip(" ")
+        for p, line in enumerate(normal_lines(text)):
             if len(line.split(" ")) >= 5:
                 seen.setdefault(line, []).append((i, p))
     lines = sorted(seen)
-
-    def bits(line):
-        w = line.split(" ")
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(w))
-
-    marks = [bits(x) for x in lines]
-    pairs = [
-        (i, j) for i in range(len(lines)) for j in range(i + 1, len(lines))
-        if (marks[i] ^ marks[j]).bit_count() <= 3 and min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j])) and levenshtein(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
-    ]
     groups = {}
-    for line, c in zip(lines, classes(len(lines), pairs)):
+    for line, c in zip(lines, classes(len(lines), links(lines))):
         groups.setdefault(c, []).extend(seen[line])
     drop = {x for g in groups.values() for x in g if x != min(g)}
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in drop) for i, t in docs}
