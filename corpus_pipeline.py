@@ -1,7 +1,12 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read
-back as the next one's ``docs``. All but the last return the columns of ``documents``.
+back as the next one's ``docs``. All but the last return the columns of ``documents``, in their order.
+
+Defined cases, in every stage: an empty table gives no rows; extra columns are kept, whatever their names; texts may have any
+length. Quality rules reject null, empty and very short texts, as they have fewer than ten words. Line dedup keeps null texts null and decides
+repeated rows alike. Near-dedup keeps rows with a null id and rows that repeat the kept id. Mixing never takes a document without
+words, and deals the copies of rows that share id and source over them. Packing carries null ids, and each row is a document of its own.
 """
 
 from __future__ import annotations
