@@ -91,7 +91,7 @@ def line_links(lines):
 
 def line_near(a, b):
     words, pairs = ((x ^ y).bit_count() for x, y in zip(a[0], b[0]))
-    return words <= 3 or bool(words <= 10 and pairs <= 16 and (a[1] & b[1] or a[2] & b[2]))
+    return words <= 3 or bool(words <= 10 and pairs <= 10 and (a[1] & b[1] or a[2] & b[2]))
 
 
 def line_dedup(docs, links=line_links):

@@ -9,7 +9,7 @@ from tests.llm.test_operators import shares
 
 
 def test_stages(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("length(text) < 3000").persist()
+    docs = documents(spark, sf_dir).persist()
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir).persist()
@@ -18,7 +18,7 @@ def test_stages(spark, sf_dir):
             docs = spark.createDataFrame(out.collect(), out.schema)
         seen[name] = out.collect()
     kept = {r["doc_id"] for r in seen["quality rules"]}
-    judged = quality.judge(documents(spark, sf_dir).where("length(text) < 3000"), quality.fit(documents(spark, sf_dir).where("length(text) < 3000"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    judged = quality.judge(documents(spark, sf_dir), quality.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
     assert kept == {r["doc_id"] for r in judged.collect() if r["kept"]}
     texts = {r["doc_id"]: r["text"] for r in seen["line dedup"]}
     assert texts == brute.line_dedup(sorted((r["doc_id"], r["text"]) for r in seen["quality rules"]))
@@ -48,3 +48,14 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns)
+
+
+def test_edges(spark, docs, sf_dir, tmp_path):
+    """Nulls, empty and long texts, ties and repeated rows through all stages."""
+    frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, frame, sf_dir)
+        if name != "packing":
+            assert out.columns == frame.columns
+        frame = spark.createDataFrame(out.collect(), out.schema)
+    assert {"doc_id", "sequence_id"} <= set(frame.columns) and frame.count() > 0
