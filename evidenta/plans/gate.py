@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 
 SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 INERT = re.compile(r"\s*(begin|commit|rollback|start\s+transaction|end)(\s+(work|transaction))?\s*;?\s*", re.I)
-#: Groups of Spark's own functions that compute from their arguments alone, and single ones beside them.
+#: Groups of Spark's own functions that compute from their arguments alone (those of dates may read the clock), and single ones beside them.
 FUNCTION_GROUPS = {
-    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "date_funcs", "generator_funcs", "hash_funcs",
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "date_funcs", "datetime_funcs", "generator_funcs", "hash_funcs",
     "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "sketch_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
 }
 FUNCTIONS = {"typeof", "uuid", "assert_true", "raise_error", "version", "monotonically_increasing_id", "equal_null", "grouping", "grouping_id"}

@@ -156,6 +156,11 @@ def test_gate_lets_through(session):
     assert session.spark.conf.get("spark.sql.runSQLOnFiles") == "false"
 
 
+def test_gate_lets_functions_of_dates_through(session):
+    row = session.query("SELECT date_trunc('day', timestamp_micros(recorded_at_nanos div 1000)) AS d, year(DATE '2024-01-02') AS y FROM records").rows.first()
+    assert row["d"].hour == 0 and row["y"] == 2024
+
+
 def test_merging_and_keys():
     b = Predicate.between
     assert merge_bounds([b("run_id", "a"), b("run_id", None, "c"), b("run_id", "b")]) == [b("run_id", "b", "c"), Predicate("absorbed", "run_id"), Predicate("absorbed", "run_id")]
