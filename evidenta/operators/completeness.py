@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +162,39 @@ def verify_composite(proof: CompositeProof, dimension: str, lo: str, hi: str, ma
     return found
 
 
+def prove(dimension: str, lo: str, hi: str, manifests: DataFrame, entries: DataFrame, bits: int = 384) -> DataFrame:
+    """``shard, segment_id, size, entries, skipped, failures, caught``: a composite proof made and verified where each segment's entries are.
+
+    ``failures`` counts those of the segment's own proof; ``caught`` says whether one that leaves out the first entry of the range fails.
+    A segment's proof depends on no other, so nothing is gathered; entries of skipped segments are not read, those of a segment without a manifest fail.
+    """
+    place, root = ["shard", "segment_id"], f"root_{dimension}"
+    known = manifests.select(*place, "n_records", F.col(root).alias("root"), "min_recorded_at", "max_recorded_at")
+    skip = F.lit(False)
+    if dimension == "recorded_at_nanos":
+        low, high = (F.lpad(F.col(c).cast("string"), 20, "0") for c in ("min_recorded_at", "max_recorded_at"))
+        skip = (high < lo) | (low > hi)
+    passed = known.where(skip).select(*place, F.col("n_records").alias("size"), F.lit(0).cast("long").alias("entries"), F.lit(True).alias("skipped"), F.lit(0).alias("failures"), F.lit(False).alias("caught"))
+    some = entries.where(F.col("dimension") == dimension).select(*place, "key", "seq", "chain_link").join(known.where(skip).select(*place), place, "left_anti")
+
+    def one(key: tuple, said: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        at = (int(key[0]), int(key[1]))
+        made = [{"shard": at[0], "segment_id": at[1], "n_records": int(m.n_records), root: m.root, "min_recorded_at": int(m.min_recorded_at), "max_recorded_at": int(m.max_recorded_at)} for m in said.itertuples()]
+        found = SortedIndex(dimension, [Entry(k, int(q), link) for k, q, link in zip(rows["key"], rows["seq"], rows["chain_link"], strict=True)], bits).range(lo, hi)
+
+        def failures(proof: RangeProof) -> int:
+            return len(verify_composite(CompositeProof(dimension, lo, hi, {at: proof}), dimension, lo, hi, made, bits))
+
+        caught = bool(found.entries) and failures(replace(found, entries=found.entries[1:])) > 0
+        return pd.DataFrame([(*at, made[0]["n_records"] if made else 0, len(found.entries), False, failures(found), caught)])
+
+    schema = "shard int, segment_id long, size long, entries long, skipped boolean, failures int, caught boolean"
+    # names of their own: both may come from one table
+    said, rows = (f.withColumnsRenamed({c: f"{side}_{c}" for c in place}) for f, side in ((known.where(~skip), "said"), (some, "row")))
+    proved = said.groupBy("said_shard", "said_segment_id").cogroup(rows.groupBy("row_shard", "row_segment_id")).applyInPandas(one, schema)
+    return proved.unionByName(passed.withColumn("shard", F.col("shard").cast("int")))
+
+
 def boundaries(entries: DataFrame, dimension: str, lo: str, hi: str) -> DataFrame:
     """Per segment: entries in the range and the positions of both neighbours, by aggregates alone."""
     some = entries.where(F.col("dimension") == dimension)

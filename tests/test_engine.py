@@ -139,6 +139,23 @@ def test_composites(sealed, manifests):
     assert completeness.verify_composite(by_run, "run_id", "run-1", "run-1", rows) == [] and not by_run.skipped
 
 
+def test_composites_by_segment(sealed, manifests):
+    """Each segment is proved by itself, without a driver that gathers entries; a changed or missing one fails alone."""
+    entries, lo, hi = chain.index_entries(sealed), "1030".rjust(20, "0"), "1040".rjust(20, "0")
+    proof = completeness.compose("recorded_at_nanos", lo, hi, manifests.collect(), entries)
+    ask = lambda e, m=manifests, d="recorded_at_nanos", a=lo, b=hi: {(r["shard"], r["segment_id"]): tuple(r)[2:] for r in completeness.prove(d, a, b, m, e).collect()}
+    found, sizes = ask(entries), {(r["shard"], r["segment_id"]): r["n_records"] for r in manifests.collect()}
+    assert found == {p: (n, len(proof.segments[p].entries) if p in proof.segments else 0, p in proof.skipped, 0, bool(p in proof.segments and proof.segments[p].entries)) for p, n in sizes.items()}
+    assert sum(f[1] for f in found.values()) == 2 and sum(f[2] for f in found.values()) == 2
+    place = next(iter(proof.segments))
+    here = f"shard = {place[0]} and segment_id = {place[1]}"
+    assert ask(entries.where(f"not ({here})"))[place][3] > 0 and ask(entries.where(f"not ({here} and pos = 0)"))[place][3] > 0
+    assert ask(entries, manifests.where(f"not ({here})"))[place][3] > 0  # not committed
+    by_run = ask(entries, d="run_id", a="run-1", b="run-1")
+    assert not any(f[2] or f[3] for f in by_run.values()) and len(by_run) == 3
+    assert all(f == (sizes[p], 0, False, 0, False) for p, f in ask(entries, d="run_id", a="run-2", b="run-1").items())
+
+
 def test_manifests_and_verification(spark, sealed, manifests, twelve):
     assert manifests.count() == 3 and manifests.where("seal_error is not null").count() == 0
     rows = manifests.collect()
