@@ -5,6 +5,7 @@ patterns of two forms: the two words left of it, and its own word shape (letters
 with runs shortened). Instances and patterns form a graph that is scored in rounds until nothing changes: a pattern's confidence is
 the smoothed share of all its occurrences in the corpus (for words on the left, at any place where an
 instance could start) that known instances have; it needs a least number of different instances, and a shape, which says less, a higher share.
+Only seeds count for a shape: one learned from accepted tokens alone would take every token of that form, whatever the words on its left say.
 An unknown identifier-like token is accepted once the chance that all its patterns are wrong falls below a bound, and
 joins the instances of the next round. Accepted tokens are added as spans of kind ``context``; base spans stay.
 
@@ -126,7 +127,8 @@ def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int)
     cut = pairs.select("a", "b", "raw", split.alias("cut")).select("a", "b", "raw", F.expr(ends).alias("ends"))
     inside = f"transform(ends, e -> {_masked('substr(raw, 1, e)')})"
     places = cut.select("a", F.explode(F.expr(f"concat(array(b), {inside})")).alias("b")).select(F.expr("xxhash64(concat(a, ' ', b))").alias("pattern"))
-    return places.join(small(wanted.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("n_seen"))
+    # counted before they are joined, so that the join gives a row a pattern and not a row a place
+    return places.groupBy("pattern").agg(F.count("*").alias("n_seen")).join(small(wanted.select("pattern")), "pattern")
 
 
 def _shape(value: str) -> str:
@@ -186,10 +188,10 @@ def _bootstrap(texts: DataFrame, instances: DataFrame, scratch: Scratch) -> Data
         return None
     # shapes are seen wherever their tokens are
     total = scratch.save(links.where("first is null").groupBy("pattern").agg(F.sum("n").alias("n_seen")), "shapes")
-    known, accepted, counted = links.where("known").select("value").distinct(), None, None
+    known, accepted, counted = links.where("known").select("value").distinct().withColumn("seed", F.lit(True)), None, None
     # the accepted set only grows, so this ends
     while True:
-        support = links.join(known, "value", "left_semi").groupBy("pattern").agg(F.countDistinct("value").alias("n_values"), F.sum("n").alias("n_hits"), F.max("first").alias("first"), F.max("long").alias("long")).where(F.col("n_values") >= LEAST_VALUES)
+        support = links.join(known, "value").where("seed or first is not null").groupBy("pattern").agg(F.countDistinct("value").alias("n_values"), F.sum("n").alias("n_hits"), F.max("first").alias("first"), F.max("long").alias("long")).where(F.col("n_values") >= LEAST_VALUES)
         # only patterns that could give a new instance
         support = scratch.save(support.join(links.where("not known").select("pattern").distinct(), "pattern", "left_semi"), "support")
         fresh = support.where("first is not null")
@@ -208,4 +210,5 @@ def _bootstrap(texts: DataFrame, instances: DataFrame, scratch: Scratch) -> Data
         if new.isEmpty():
             return accepted
         accepted = new if accepted is None else accepted.unionByName(new)
-        known = known.unionByName(new).distinct()
+        # a value that is also a seed stays one row
+        known = known.unionByName(new.withColumn("seed", F.lit(False))).groupBy("value").agg(F.max("seed").alias("seed"))

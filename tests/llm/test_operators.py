@@ -402,6 +402,15 @@ def test_op8_shapes(spark):
     assert hidden > 3 and sum(r["n_context"] for r in got.values()) == hidden
 
 
+def test_op8_shapes_of_accepted_tokens(spark):
+    """Tokens accepted by the words before them do not make their shape a pattern; a token that is also an accepted value counts once."""
+    rows = [(10 * k + i, f"{c} {k}{i}y@mail.example.com") for k, c in enumerate(["my badge", "his pass", "her card"]) for i in range(4)]
+    rows += [(10 * k + 5, f"{c} QT{k}77-x") for k, c in enumerate(["my badge", "his pass", "her card"])]
+    rows += [(50, "part number QT977-x"), (51, "part number unknown"), (52, "again QT077-x")]
+    got = {r["doc_id"]: r["n_context"] for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (5, 15, 25, 50, 51, 52)] == [1, 1, 1, 0, 0, 1]
+
+
 def test_op8_recall_of_withheld_seeds(spark):
     """On a whole table, of base values that are no seeds the bootstrap finds most, and nothing that is no identifier."""
     rows = privacy.scan(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), withheld=0.3).collect()
