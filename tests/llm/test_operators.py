@@ -1,6 +1,7 @@
 """Each operator against a plain version, over a small table and over nulls, ties, long and clashing rows."""
 
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -269,6 +270,24 @@ def test_op5_recall(spark, sf_dir):
     assert len(near) > 100 and len(found) >= 0.6 * len(near)
 
 
+def test_op5_bounds(spark):
+    """A part of two lines shows that they are apart only where they are, and does for texts that share nothing; pairs are decided as by the exact distance."""
+    draw = random.Random(7)
+    words = ["".join(draw.choice("etaoinsrhldu") for _ in range(draw.randint(2, 9))) for _ in range(400)]
+    texts, pairs = [], []
+    for k in range(240):
+        a = [draw.choice(words) for _ in range(draw.randint(5, 90))]
+        b = [draw.choice(words) if draw.random() < k % 8 / 10 else w for w in a] if k % 3 else [draw.choice(words) for _ in a]
+        b = a[: k % 5 * 2] + b[k % 5 * 2 + k % 2 :] + a[: k % 4]
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((2 * k, 2 * k + 1))
+    both = spark.createDataFrame([(texts[a][1], texts[b][1]) for a, b in pairs], "ta string, tb string").withColumn("most", F.expr("int(floor(round(0.2 * greatest(length(ta), length(tb)), 6)))"))
+    rows = both.select("most", F.expr("levenshtein(ta, tb)").alias("d"), F.expr(lines._apart("ta", "tb")).alias("apart")).collect()
+    assert all(r["d"] > r["most"] for r in rows if r["apart"]) and sum(r["apart"] for r in rows) > 0.6 * sum(r["d"] > 2 * r["most"] for r in rows) > 20
+    got = {(r["a"], r["b"]): r["ok"] for r in lines.verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "lid long, norm string")).collect()}
+    assert [got[p] for p in pairs] == [r["d"] <= r["most"] for r in rows] and 20 < sum(got.values()) < 220
+
+
 def test_op5_names(spark, docs):
     """Columns may have the names that the operator uses itself."""
     clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("drops", "line_drops", "line_id", "line_th", "d_id", "th", "norm", "n_lines", "g")])
