@@ -288,6 +288,30 @@ def test_op5_bounds(spark):
     assert [got[p] for p in pairs] == [r["d"] <= r["most"] for r in rows] and 20 < sum(got.values()) < 220
 
 
+def test_op5_links_in_rounds(spark):
+    """Links that come in rounds give the classes that all give at once, and a later round walks only links between groups."""
+    draw = random.Random(3)
+    scratch, named, seen = Scratch(spark, "t"), None, []
+    for k in range(4):
+        fresh = [(draw.randrange(60) + 1000 * (i % 3), draw.randrange(60) + 1000 * (i % 3)) for i in range(12)] + [(5000, 5001 + i) for i in range(20)]
+        seen += fresh
+        named = lines.merged(spark.createDataFrame(fresh, "a long, b long"), named, scratch)
+        want = {r["node"]: r["component"] for r in components(spark.createDataFrame(seen, "a long, b long"), scratch).collect()}
+        assert sorted((r["node"], r["component"]) for r in named.collect()) == sorted(want.items())
+
+
+def test_op5_members(spark):
+    """A set of lines is met without a shuffle of the lines, whatever their numbers."""
+    scratch = Scratch(spark, "t")
+    ids = [p << 33 | i for p in range(3) for i in (0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 65536, 65537, 100_000)]
+    every = scratch.save(spark.createDataFrame([(i, f"line {i}") for i in ids], "lid long, norm string"))
+    for some in (ids[::2], ids[1::3], ids, [ids[5]]):
+        got = lines.members(every, lines.bitmaps(spark.createDataFrame([(i,) for i in some], "lid long"), scratch), len(ids))
+        assert sorted(r["lid"] for r in got.collect()) == sorted(some) and got.columns == every.columns
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+
+
 def test_op5_names(spark, docs):
     """Columns may have the names that the operator uses itself."""
     clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("drops", "line_drops", "line_id", "line_th", "d_id", "th", "norm", "n_lines", "g")])
