@@ -13,7 +13,8 @@ A token is a run of letters and digits, joined by ``. _ @ + -``, of at least ``L
 
 Texts are never shuffled: rows of instances and candidates are. Occurrences of words on the left are counted in one scan
 of the texts by the few patterns that enough instances share; without any, that scan does not
-happen. Shapes are counted from the candidates themselves. Patterns are broadcast only while their number is within a bound, else the counts are joined by shuffle.
+happen. Shapes are counted from the candidates themselves. Patterns are broadcast, and their first words listed in the
+scan, only while their number is within a bound, else counts are joined by shuffle.
 
 Defined cases: a null text is empty; a null ``doc_id`` is carried; repeated rows are scanned each, and
 equal values count once; an empty table gives no row; other columns are ignored. A text may have any length: matching is
@@ -119,16 +120,22 @@ def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int)
     rows = docs.select(words(_masked(f"`{text_col}`")).alias("w"), words(f"`{text_col}`").alias("raw")).where("size(w) > 1")
     zipped = F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"), F.expr("slice(raw, 2, size(raw) - 1)").alias("raw"))
     pairs = rows.select(F.explode(zipped).alias("p")).select(F.xxhash64("p.a").alias("first"), "p.a", "p.b", "p.raw")
-    # few pairs begin like a wanted pattern
-    pairs = pairs.join(small(wanted.select("first").distinct()), "first")
+    # few pairs begin like a wanted pattern; equal ones are counted before their places are made
+    firsts = wanted.select("first").distinct()
+    if n <= MOST_BROADCAST:
+        pairs = pairs.where(F.col("first").isin([r["first"] for r in firsts.collect()]))
+    pairs = pairs.groupBy("first", "a", "b", "raw").agg(F.count("*").alias("n"))
+    if n > MOST_BROADCAST:
+        # not a semi-join, which Spark would move below the counts
+        pairs = pairs.join(firsts, "first")
     split = F.when(F.col("raw").contains("@"), F.split("raw", f"{INSIDE}|{CHAINED}", -1)).otherwise(F.split("raw", INSIDE, -1))
     ends = f"""aggregate(slice(cut, 1, size(cut) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (x, c) -> named_struct(
         'at', x.at + length(c), 'out', if(length(a) + 1 + x.at + length(c) <= {most}, array_append(x.out, x.at + length(c)), x.out)), x -> x.out)"""
-    cut = pairs.select("a", "b", "raw", split.alias("cut")).select("a", "b", "raw", F.expr(ends).alias("ends"))
+    cut = pairs.select("a", "b", "raw", "n", split.alias("cut")).select("a", "b", "raw", "n", F.expr(ends).alias("ends"))
     inside = f"transform(ends, e -> {_masked('substr(raw, 1, e)')})"
-    places = cut.select("a", F.explode(F.expr(f"concat(array(b), {inside})")).alias("b")).select(F.expr("xxhash64(concat(a, ' ', b))").alias("pattern"))
+    places = cut.select("a", "n", F.explode(F.expr(f"concat(array(b), {inside})")).alias("b")).select("n", F.expr("xxhash64(concat(a, ' ', b))").alias("pattern"))
     # counted before they are joined, so that the join gives a row a pattern and not a row a place
-    return places.groupBy("pattern").agg(F.count("*").alias("n_seen")).join(small(wanted.select("pattern")), "pattern")
+    return places.groupBy("pattern").agg(F.sum("n").alias("n_seen")).join(small(wanted.select("pattern")), "pattern")
 
 
 def _shape(value: str) -> str:

@@ -454,6 +454,24 @@ def test_op8_shapes_of_accepted_tokens(spark):
     assert [got[i] for i in (5, 15, 25, 50, 51, 52)] == [1, 1, 1, 0, 0, 1]
 
 
+def test_op8_places_are_counted_before_joins(spark, monkeypatch):
+    """Places after wanted patterns, by either plan; no join gets a row for each occurrence of a word pair."""
+    rows = [(f"account id={i % 9}x and account id is so",) for i in range(300)] + [("the id=5 account id=7",), ("account id", ), (None,)]
+    texts = spark.createDataFrame(rows, "t string")
+    wanted = spark.sql("select xxhash64('account id=') as pattern, xxhash64('account') as first union all select xxhash64('account id'), xxhash64('account') union all select xxhash64('no such'), xxhash64('no')")
+    want = {r["p"]: n for r, n in zip(spark.sql("select xxhash64('account id=') as p union all select xxhash64('account id')").collect(), (301, 301))}
+    for most in (20_000, 0):
+        monkeypatch.setattr(privacy, "MOST_BROADCAST", most)
+        seen = privacy._seen(texts, "t", wanted, 3, 11)
+        assert {r["pattern"]: r["n_seen"] for r in seen.collect()} == want
+        plan = seen._jdf.queryExecution().optimizedPlan().toString()
+        for i, line in enumerate(lines_ := plan.split("\n")):
+            if "Join" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = next(x for x in lines_[i + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth and "Filter" not in x and "Project" not in x)
+                assert "Aggregate" in below
+
+
 def test_op8_recall_of_withheld_seeds(spark):
     """On a whole table, of base values that are no seeds the bootstrap finds most, and nothing that is no identifier."""
     rows = privacy.scan(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), withheld=0.3).collect()
