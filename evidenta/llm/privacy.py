@@ -133,7 +133,11 @@ def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int)
         'at', x.at + length(c), 'out', if(length(a) + 1 + x.at + length(c) <= {most}, array_append(x.out, x.at + length(c)), x.out)), x -> x.out)"""
     cut = pairs.select("a", "b", "raw", "n", split.alias("cut")).select("a", "b", "raw", "n", F.expr(ends).alias("ends"))
     inside = f"transform(ends, e -> {_masked('substr(raw, 1, e)')})"
-    places = cut.select("a", "n", F.explode(F.expr(f"concat(array(b), {inside})")).alias("b")).select("n", F.expr("xxhash64(concat(a, ' ', b))").alias("pattern"))
+    held = cut.select("n", F.expr(f"transform(concat(array(b), {inside}), e -> xxhash64(concat(a, ' ', e)))").alias("patterns"))
+    if n <= MOST_BROADCAST:
+        chosen = [r["pattern"] for r in wanted.select("pattern").collect()]
+        held = held.select("n", F.filter("patterns", lambda x: x.isin(chosen)).alias("patterns"))
+    places = held.select("n", F.explode("patterns").alias("pattern"))
     # counted before they are joined, so that the join gives a row a pattern and not a row a place
     return places.groupBy("pattern").agg(F.sum("n").alias("n_seen")).join(small(wanted.select("pattern")), "pattern")
 
