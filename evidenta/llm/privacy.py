@@ -104,7 +104,7 @@ def _context(start: str) -> str:
     return f"regexp_replace({words}, '[{SPACE}]+', ' ')"
 
 
-def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int) -> DataFrame:
+def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int, scratch: Scratch | None = None) -> DataFrame:
     """``pattern, n_seen``: the places where an instance could start, after the ``n`` wanted patterns (``pattern, first``).
 
     Such places are after any two words, and inside a word where ``INSIDE`` says; for the latter only patterns of at most
@@ -128,6 +128,8 @@ def _seen(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, most: int)
     if n > MOST_BROADCAST:
         # not a semi-join, which Spark would move below the counts
         pairs = pairs.join(firsts, "first")
+    # saved, else Spark moves what it infers from the places below the counts, to each occurrence of a pair
+    pairs = (scratch or Scratch(docs.sparkSession, "privacy")).save(pairs.drop("first"), "pairs")
     split = F.when(F.col("raw").contains("@"), F.split("raw", f"{INSIDE}|{CHAINED}", -1)).otherwise(F.split("raw", INSIDE, -1))
     ends = f"""aggregate(slice(cut, 1, size(cut) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (x, c) -> named_struct(
         'at', x.at + length(c), 'out', if(length(a) + 1 + x.at + length(c) <= {most}, array_append(x.out, x.at + length(c)), x.out)), x -> x.out)"""
@@ -209,7 +211,7 @@ def _bootstrap(texts: DataFrame, instances: DataFrame, scratch: Scratch) -> Data
         fresh = fresh if counted is None else fresh.join(counted, "pattern", "left_anti")
         n, most = fresh.agg(F.count("*"), F.max("long")).first()
         if n:
-            seen = scratch.save(_seen(texts, "t", fresh.select("pattern", "first"), n, most), "seen")
+            seen = scratch.save(_seen(texts, "t", fresh.select("pattern", "first"), n, most, scratch), "seen")
             total = total.unionByName(seen)
             counted = seen.select("pattern") if counted is None else counted.unionByName(seen.select("pattern"))
         share = F.col("n_hits") / (F.greatest("n_seen", "n_hits") + 1)

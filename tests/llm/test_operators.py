@@ -472,6 +472,26 @@ def test_op8_places_are_counted_before_joins(spark, monkeypatch):
                 assert "Aggregate" in below
 
 
+def test_op8_places_are_made_of_counted_pairs(spark, monkeypatch):
+    """Nothing that makes the places of a word pair runs before equal pairs are counted."""
+    texts = spark.createDataFrame([(f"account id={i % 9}x and account id is so",) for i in range(300)], "t string")
+    wanted = spark.sql("select xxhash64('account id=') as pattern, xxhash64('account') as first")
+    for most in (20_000, 0):
+        monkeypatch.setattr(privacy, "MOST_BROADCAST", most)
+        plans, save = [], privacy.Scratch.save
+        monkeypatch.setattr(privacy.Scratch, "save", lambda self, frame, *more: plans.append(frame) or save(self, frame, *more))
+        plans.append(privacy._seen(texts, "t", wanted, 1, 11))
+        monkeypatch.setattr(privacy.Scratch, "save", save)
+        counted = 0
+        for plan in plans:
+            lines_ = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+            for i, line in enumerate(lines_):
+                if "Aggregate [" in line and "raw#" in line:
+                    counted += 1
+                    assert not [x for x in lines_[i + 1 :] if "lambda" in x]
+        assert counted
+
+
 def test_op8_recall_of_withheld_seeds(spark):
     """On a whole table, of base values that are no seeds the bootstrap finds most, and nothing that is no identifier."""
     rows = privacy.scan(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), withheld=0.3).collect()
