@@ -288,6 +288,17 @@ def test_op5_bounds(spark):
     assert [got[p] for p in pairs] == [r["d"] <= r["most"] for r in rows] and 20 < sum(got.values()) < 220
 
 
+def test_op5_bounds_of_uneven_lines(spark):
+    """Lines that share nothing are shown apart by parts that do not grow with the difference of their lengths, and only where they are."""
+    draw = random.Random(11)
+    rows = [tuple("".join(draw.choice("etaoinsrhldu ") for _ in range(n)) for n in (500, 400 + 5 * k)[:: 1 - 2 * (k % 2)]) for k in range(21)]
+    rows += [(a, "".join(c for c in a if draw.random() > 0.15)) for a, _ in rows if len(a) == 500]
+    both = spark.createDataFrame(rows, "ta string, tb string").withColumn("most", F.lit(100))
+    spark.udf.register("too_long", lambda x, y: 10**6 * (len(x) + len(y) > 322), "int")
+    got = both.select(F.expr("levenshtein(ta, tb)").alias("d"), F.expr(lines._apart("ta", "tb")).alias("apart"), F.expr(lines._apart("ta", "tb").replace("levenshtein(", "too_long(")).alias("long")).collect()
+    assert all(r["apart"] == (r["d"] > 100) for r in got) and sum(r["apart"] for r in got) == 21 and not any(r["long"] for r in got)
+
+
 def test_op5_links_in_rounds(spark):
     """Links that come in rounds give the classes that all give at once, and a later round walks only links between groups."""
     draw = random.Random(3)
