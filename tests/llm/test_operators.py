@@ -311,6 +311,38 @@ def test_op5_links_in_rounds(spark):
         assert sorted((r["node"], r["component"]) for r in named.collect()) == sorted(want.items())
 
 
+def test_op5_few_links_take_no_rounds(spark, monkeypatch):
+    """Few links become groups without the rounds that many take, and the groups are those of the rounds."""
+    draw, scratch = random.Random(4), Scratch(spark, "t")
+    links = [(draw.randrange(300) << 33, draw.randrange(300) << 33) for _ in range(200)] + [(7, 7), (10**18, 9)]
+    for some in (links, []):
+        frame = spark.createDataFrame(some, "a long, b long")
+        want = sorted((r["node"], r["component"]) for r in components(frame, scratch).collect())
+        assert sorted((r["node"], r["component"]) for r in lines.connected(frame, scratch, 10).collect()) == want
+        with monkeypatch.context() as m:
+            m.setattr(lines, "components", None)
+            named = lines.merged(frame, None, scratch)
+            assert sorted((r["node"], r["component"]) for r in named.collect()) == want and named.schema.simpleString() == "struct<node:bigint,component:bigint>"
+
+
+def test_op5_one_pair_for_two_groups(spark, monkeypatch):
+    """Where groups meet in many pairs, one links them and the others are not verified; the classes are the same."""
+    rng = np.random.default_rng(8)
+    stem = [f"word{i}" for i in range(40)]
+    texts = sorted({" ".join(f"edit{rng.integers(99)}" if rng.random() < 0.08 else w for w in stem) for _ in range(60)})
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string").withColumns({"len": F.length("norm"), "words": F.size(F.split("norm", " "))})
+    scratch = Scratch(spark, "t")
+    ready = scratch.save(lines.with_ends(frame).drop("words").join(lines.simhashed(frame), "lid").join(lines.simhashed(frame, True).withColumnRenamed("sim", "duo"), "lid"))
+    sizes, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, texts: sizes.append(pairs.count()) or verified(pairs, texts))
+    found = {}
+    for sweeps in (0, lines.SWEEPS):
+        sizes.clear()
+        got = lines.groups(ready, scratch, 2, rounds=1, sweeps=sweeps).collect()
+        found[sweeps] = sum(sizes), sorted((r["node"], r["component"]) for r in got)
+    assert found[0][1] == found[lines.SWEEPS][1] and found[lines.SWEEPS][0] < 0.7 * found[0][0]
+
+
 def test_op5_members(spark):
     """A set of lines is met without a shuffle of the lines, whatever their numbers."""
     scratch = Scratch(spark, "t")
