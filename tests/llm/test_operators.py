@@ -343,6 +343,17 @@ def test_op5_one_pair_for_two_groups(spark, monkeypatch):
     assert found[0][1] == found[lines.SWEEPS][1] and found[lines.SWEEPS][0] < 0.7 * found[0][0]
 
 
+def test_op5_fingerprints_carry_ends(spark):
+    """Lengths and ends go through the counts of a fingerprint, so no join brings them back."""
+    texts = ["a b c d e", "one two three four five six seven eight nine ten", " ".join(f"w{i}" for i in range(200)), "é ü ß ñ ó", "x " * 50 + "y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string").withColumns({"len": F.length("norm"), "words": F.size(F.split("norm", " "))})
+    ended = lines.with_ends(frame)
+    whole = lines.simhashed(ended, False, "len", "ends")
+    want = ended.select("lid", "len", "ends").join(lines.simhashed(frame), "lid")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, want.collect())) and whole.columns == want.columns
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_op5_members(spark):
     """A set of lines is met without a shuffle of the lines, whatever their numbers."""
     scratch = Scratch(spark, "t")
